@@ -105,3 +105,14 @@ def once_per_id(df: DataFrame, order: list[str], id_col: str = "doc_id") -> Data
 def two_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and text only, whatever other columns there are; rows without an id can't be named and are left out."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+
+
+#: Up to so many ids (8 bytes each) are broadcast; beyond, the other side is shuffled to meet them.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
+    """The documents whose doc_id is (or isn't) among ``ids``. A null id is never among them."""
+    ids = written(ids.select("doc_id").distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, "doc_id", "left_semi" if keep else "left_anti").select(*docs.columns)

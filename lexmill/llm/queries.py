@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import jaccard_forest, quality, secrets, toxicity
+from lexmill.llm import jaccard_forest, mixing, packing, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -31,6 +39,8 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": op2_secret_scans,
+    "op3_packing": op3_packing,
+    "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
@@ -40,7 +50,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 N, THRESHOLD = jaccard_forest.N, jaccard_forest.THRESHOLD
+WEIGHT = " ".join(f"WHEN source = '{k}' THEN {v}" for k, v in sorted(mixing.WEIGHTS.items()))
+LOT = f"md5('{mixing.SEED}:' || shard || ':' || coalesce(source, '') || ':' || block)"
 SQL: dict[str, str] = {
+    "op4_mixing": f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS n_tokens,
+             md5('{mixing.SEED}:' || doc_id) AS key FROM documents WHERE doc_id IS NOT NULL),
+     s AS (SELECT *, CAST('0x' || left(key, 8) AS BIGINT) % (SELECT greatest(1, (count(*) + {mixing.DOCS_PER_SHARD - 1}) // {mixing.DOCS_PER_SHARD}) FROM d) AS shard FROM d),
+     b AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY shard, source ORDER BY key, doc_id, n_tokens
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {mixing.BLOCK_TOKENS} AS block FROM s),
+     h AS (SELECT shard, source, greatest(ceil(sum(n_tokens) / {mixing.BLOCK_TOKENS}.0), max(block) + 1)::BIGINT AS have,
+             CASE {WEIGHT} ELSE {mixing.OTHER_WEIGHT} END AS weight FROM b GROUP BY shard, source),
+     q AS (SELECT shard, source, have, weight, unnest(range(have)) AS k FROM h),
+     r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY weight / (2 * k + 1) DESC, source NULLS LAST) AS rank FROM q),
+     t AS (SELECT shard, floor(sum(have) * {mixing.KEEP}) AS seats FROM h GROUP BY shard),
+     u AS (SELECT r.shard, r.source, max(have) AS have, count(*) AS quota FROM r JOIN t USING (shard) WHERE rank <= seats GROUP BY 1, 2),
+     l AS (SELECT shard, source, quota, unnest(range(have)) AS block FROM u),
+     c AS (SELECT shard, source, block FROM (SELECT *, row_number() OVER (PARTITION BY shard, source ORDER BY {LOT}, block) AS lot FROM l) WHERE lot <= quota)
+SELECT b.doc_id, b.source, b.shard, b.block, b.n_tokens FROM b
+WHERE EXISTS (SELECT 1 FROM c WHERE c.shard = b.shard AND c.source IS NOT DISTINCT FROM b.source AND c.block = b.block)""",
     "op7_ngram_jaccard_join": f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents WHERE doc_id IS NOT NULL),
      r AS (SELECT min(doc_id) AS doc_id, array_to_string(w, ' ') AS t, any_value(w) AS w, list(doc_id) AS ids

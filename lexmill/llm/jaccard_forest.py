@@ -1,11 +1,13 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 Every document is a query and a target. Its MinHash signature is cut into ``TREES`` labels of ``DEEPEST``
-values; each tree is a prefix trie, held as rows sorted by label. Two documents meet at the depth of the
-longest prefix that they share in any tree. Candidates are verified from the deepest level upwards: after
-each level the recall is estimated from the pairs verified so far (each counts 1 / its probability of being
-met at that depth), and prefixes are shortened by one until that estimate reaches ``TARGET``, at the latest at
-``SHALLOWEST``, where even a pair at the threshold is met with probability 0.995.
+values; each tree is a prefix trie, held as rows sorted by node. Documents that share a node at depth ``SHALLOWEST`` in
+any tree are brought together in blocks: a node takes the least document near it as its name, and a document goes to
+the names of its nodes, so that what is shuffled grows with documents and not with pairs. In a block, pairs
+are verified exactly, those with the longest common prefix first; after each depth the recall of the block is estimated
+from the pairs found (each counts 1 / its probability of having been met at that depth, and one unseen pair at the
+threshold is assumed), and the prefixes are shortened by one until it reaches ``TARGET``, at the latest at ``SHALLOWEST``, where
+even a pair at the threshold is met with probability 0.995.
 
 Results (doc_id_a, doc_id_b, jaccard): ``doc_id_a < doc_id_b``, similarity at least ``threshold``, rounded to six
 places. Documents with the same words in the same order are one member of the join, represented by their
@@ -20,7 +22,6 @@ content key); other columns are ignored; an empty table gives no rows. Texts are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from lexmill.llm import kernel as K
 from lexmill.llm.common import binaries, longs, once_per_id, pair_blocks, ragged, runs, two_columns, whole_groups, written
 
+PAIRS = "a long, b long, jaccard double"
+
 N, THRESHOLD = 3, 0.5
 TREES, DEEPEST, SHALLOWEST, TARGET = 40, 5, 3, 0.995
-#: Documents of one cluster that are verified together; larger clusters are cut into squares of blocks.
-BLOCK = 256
+#: Documents of one name that meet in a block; names with more are cut into parts, and each two parts meet.
+BLOCK = 384
 #: Up to so many candidate documents their ids are broadcast (8 bytes each); beyond, texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -67,46 +70,57 @@ def signatures(docs: DataFrame, n: int = N) -> DataFrame:
     return docs.mapInArrow(run, BASE)
 
 
+def _nodes(sig: np.ndarray, depth: int) -> np.ndarray:
+    """Rows x TREES: the node of each signature at a depth."""
+    weights = K.odd_constants(DEEPEST + 1, 31)
+    sig = sig.reshape(len(sig), TREES, DEEPEST).astype(np.uint64)
+    node = np.arange(TREES, dtype=np.uint64)[None, :] * weights[-1] + np.uint64(depth)
+    for d in range(depth):
+        node = node + sig[:, :, d] * weights[d]
+    return K.mix(node)
+
+
 def _trie(base: DataFrame) -> DataFrame:
-    """A row per tree and document: node (tree and the first SHALLOWEST values), tail (the other values)."""
-    weights = K.odd_constants(SHALLOWEST + 1, 31)
+    """A row per tree and document: its node at the depth where the search ends, its content key and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, TREES, DEEPEST).astype(np.uint64)
-            node = np.arange(TREES, dtype=np.uint64)[None, :] * weights[-1]
-            for d in range(SHALLOWEST):
-                node = node + sig[:, :, d] * weights[d]
-            tail = (sig[:, :, SHALLOWEST] << np.uint64(32)) | sig[:, :, SHALLOWEST + 1]
-            spread = lambda c: np.repeat(longs(batch, c), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(K.mix(node).ravel().view(np.int64)), pa.array(tail.ravel().view(np.int64)), pa.array(spread("k1")), pa.array(spread("doc_id"))], ["node", "tail", "k1", "doc_id"])
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            spread = lambda c: pa.array(np.repeat(longs(batch, c), TREES))
+            yield pa.RecordBatch.from_arrays([pa.array(_nodes(sig, SHALLOWEST).ravel().view(np.int64)), spread("k1"), spread("doc_id")], ["node", "k1", "doc_id"])
 
-    return base.mapInArrow(run, "node long, tail long, k1 long, doc_id long")
+    return base.mapInArrow(run, "node long, k1 long, doc_id long")
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different contents below each node, with the depth of the prefix that they share there."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with more than one content: their documents (of copies the least id) and the least of them."""
     for group in whole_groups(batches, "node"):
-        node, tail, k1, ids = (longs(group, c) for c in ("node", "tail", "k1", "doc_id"))
+        node, k1, ids = (longs(group, c) for c in ("node", "k1", "doc_id"))
         fresh = np.ones(len(node), bool)
-        fresh[1:] = (node[1:] != node[:-1]) | (tail[1:] != tail[:-1]) | (k1[1:] != k1[:-1])  # copies: the least id
-        node, tail, ids = node[fresh], tail[fresh].view(np.uint64), ids[fresh]
-        for i, j in pair_blocks(runs(node)):
-            x = tail[i] ^ tail[j]
-            depth = SHALLOWEST + (x < np.uint64(1 << 32)).astype(np.int32) + (x == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(depth.astype(np.int32))], ["a", "b", "depth"])
-
-
-def candidates(base: DataFrame) -> DataFrame:
-    """a, b, depth: pairs of documents and the deepest prefix that they share in any tree."""
-    trie = _trie(base).repartition("node").sortWithinPartitions("node", "tail", "k1", "doc_id")
-    return trie.mapInArrow(_meet, "a long, b long, depth int").groupBy("a", "b").agg(F.max("depth").alias("depth"))
+        fresh[1:] = (node[1:] != node[:-1]) | (k1[1:] != k1[:-1])
+        node, ids = node[fresh], ids[fresh]
+        bounds = runs(node)
+        size = np.diff(bounds)
+        least = np.repeat(np.minimum.reduceat(ids, bounds[:-1]), size)
+        more = np.repeat(size > 1, size)
+        yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.array(ids[more]), pa.array(least[more])], ["node", "doc_id", "least"])
+
+
+def meetings(base: DataFrame) -> DataFrame:
+    """doc_id and its names, each with the number of parts that the name has; only documents that share a node."""
+    trie = _trie(base).repartition("node").sortWithinPartitions("node", "k1", "doc_id")
+    rows = written(trie.mapInArrow(_shared, "node long, doc_id long, least long"), "nodes")
+    label = rows.groupBy("doc_id").agg(F.min("least").alias("label"))
+    name = rows.join(label, "doc_id").groupBy("node").agg(F.min("label").alias("name"))
+    placed = rows.select("node", "doc_id").join(name, "node").select("doc_id", "name").distinct()
+    parts = placed.groupBy("name").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    return placed.join(parts, "name").groupBy("doc_id").agg(F.collect_list(F.struct("name", "parts")).alias("names"))
 
 
 def gram_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id and the sorted distinct hashes of its n-grams."""
+    """doc_id, its names and the sorted distinct hashes of its n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,58 +129,77 @@ def gram_sets(docs: DataFrame, n: int = N) -> DataFrame:
                 grams, begin, _, _ = _grams(data, offsets, n)
                 sets = [np.unique(grams[a:b]) for a, b in zip(begin[:-1], begin[1:])]
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), ragged(np.concatenate(sets), bounds)], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), batch.column("names").slice(i, j - i), ragged(np.concatenate(sets), bounds)], ["doc_id", "names", "grams"])
 
-    return docs.mapInArrow(run, "doc_id long, grams binary")
+    return docs.select("doc_id", "text", "names").mapInArrow(run, "doc_id long, names array<struct<name: long, parts: int>>, grams binary")
 
 
-def _verify(threshold: float):
+def _similarity(x: np.ndarray, y: np.ndarray, threshold: float) -> float:
+    """Exact Jaccard similarity of two sorted sets; 0 where their sizes rule the threshold out."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < threshold * len(y):
+        return 0.0
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return common / (len(x) + len(y) - common)
+
+
+def _verify(threshold: float, target: float):
+    multipliers = K.odd_constants(TREES * DEEPEST, 23)
+    met = lambda s, d: 1 - (1 - s**d) ** TREES
+    unseen = {d: 1 / met(threshold, d) - 1 for d in range(SHALLOWEST, DEEPEST + 1)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "grp"):
-            grp, a, b = (longs(group, c) for c in ("grp", "a", "b"))
-            grams, out = group.column("grams"), []
+            ids, part, low, high, grp = (longs(group, c) for c in ("doc_id", "part", "low", "high", "grp"))
+            names = [set(n) for n in group.column("all").to_pylist()]
+            own = longs(group, "name")
+            sets = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
+            begin = np.concatenate([[0], np.cumsum([len(g) for g in sets])])
+            sig = K.minhash(np.concatenate(sets), begin, multipliers)
+            levels = {d: _nodes(sig, d) for d in range(SHALLOWEST, DEEPEST + 1)}
+            out: list[tuple[int, int, float]] = []
             bounds = runs(grp)
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                sets = {}
-                for r in range(lo, hi):  # documents come before pairs
-                    if b[r] == -1 and grams[r].is_valid:
-                        sets[int(a[r])] = np.frombuffer(grams[r].as_py(), np.uint64)
-                    else:
-                        x, y = sets.get(int(a[r])), sets.get(int(b[r]))
-                        if x is None or y is None:
-                            raise ValueError("a candidate pair came without its documents")
-                        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                            continue
-                        if len(x) > len(y):
-                            x, y = y, x
-                        at = np.searchsorted(y, x)
-                        common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                        score = common / (len(x) + len(y) - common)
+            inside = np.where(low == high, -1, part)
+            found: dict[int, list[tuple[int, int, int]]] = {}
+            for i, j in pair_blocks(bounds, 1 << 15):
+                new = (inside[i] != inside[j]) | (inside[i] == -1)
+                i, j = i[new], j[new]
+                depth = np.zeros(len(i), np.int64)
+                for d, nodes in levels.items():
+                    depth[(nodes[i] == nodes[j]).any(1)] = d
+                for x, y, d in zip(*(c[depth > 0].tolist() for c in (i, j, depth))):
+                    # Documents that share several names are a pair of the least only.
+                    if ids[x] != ids[y] and own[x] == min(names[x] & names[y]):
+                        found.setdefault(int(grp[x]), []).append((d, x, y))
+            for pairs in found.values():
+                hits, weight = 0, 0.0
+                for d in range(DEEPEST, SHALLOWEST - 1, -1):
+                    for _, x, y in (p for p in pairs if p[0] == d):
+                        score = _similarity(sets[x], sets[y], threshold)
                         if score >= threshold:
-                            out.append((int(a[r]), int(b[r]), score))
+                            out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y])), score))
+                            hits += 1
+                    weight = sum(1 / met(s, d) for _, _, s in out[len(out) - hits :]) if hits else 0.0
+                    if hits and hits / (weight + unseen[d]) >= target:
+                        break
             cols = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "jaccard"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n_ids: int, threshold: float, n: int = N) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold. Documents are blocked by the least neighbour, so that the
-    sets of a cluster meet in few groups; each group holds at most two blocks."""
-    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
-    home = ends.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("home"))
-    parts = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    block = home.join(parts, "home").select("x", F.xxhash64("home", F.pmod(F.xxhash64("x"), F.col("parts"))).alias("block"))
-    side = lambda c: block.select(F.col("x").alias(c), F.col("block").alias(f"block_{c}"))
-    grouped = written(pairs.join(side("a"), "a").join(side("b"), "b").select(F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("grp"), "a", "b"), "grouped")
-    need = grouped.select("grp", F.col("a").alias("doc_id")).union(grouped.select("grp", "b")).distinct()
-    ids = block.select(F.col("x").alias("doc_id"))
-    chosen = docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    # Rows that repeat an id were settled before; here any of its rows serves, and the least text is that row's.
-    sets = gram_sets(chosen, n)
-    rows = need.join(sets, "doc_id").select("grp", F.col("doc_id").alias("a"), F.lit(-1).cast("long").alias("b"), "grams", F.lit(0).alias("kind"))
-    rows = rows.union(grouped.select("grp", "a", "b", F.lit(None).cast("binary"), F.lit(1)))
-    return rows.repartition("grp").sortWithinPartitions("grp", "kind").drop("kind").mapInArrow(_verify(threshold), "a long, b long, jaccard double")
+def verified(near: DataFrame, docs: DataFrame, threshold: float, target: float, n: int = N) -> DataFrame:
+    """The pairs of each block whose exact similarity reaches the threshold; every pair comes from one block."""
+    near = written(near, "near")
+    chosen = docs.join(F.broadcast(near) if near.count() <= BROADCAST_IDS else near, "doc_id")
+    sets = gram_sets(chosen, n).select("doc_id", "grams", F.col("names.name").alias("all"), F.explode("names").alias("n"))
+    rows = sets.select("doc_id", "grams", "all", "n.name", "n.parts", F.pmod(F.xxhash64("doc_id"), F.col("n.parts")).alias("part"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.withColumns({"low": F.least("part", "other").cast("long"), "high": F.greatest("part", "other").cast("long"), "part": F.col("part").cast("long")})
+    rows = rows.select(F.xxhash64("name", "low", "high").alias("grp"), "doc_id", "name", "part", "low", "high", "all", "grams")
+    return rows.repartition("grp").sortWithinPartitions("grp", "doc_id").mapInArrow(_verify(threshold, target), PAIRS)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, target: float = TARGET) -> DataFrame:
@@ -179,21 +212,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, targ
         docs = _same_content(docs, base, n)
     group = base.groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).filter("size > 1")
     copies = base.select("k1", "k2", F.col("doc_id").alias("b")).join(group, ["k1", "k2"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    pairs = written(candidates(base), "candidates")
-    parts = [copies]
-    found = weight = 0.0
-    for depth in range(DEEPEST, SHALLOWEST - 1, -1):
-        level = pairs.filter(F.col("depth") == depth)
-        n_ids = level.select(F.col("a").alias("x")).union(level.select("b")).distinct().count()
-        if n_ids:
-            part = written(verified(level.select("a", "b"), docs, n_ids, threshold, n), "verified")
-            met = part.select((1 - F.pow(1 - F.pow("jaccard", F.lit(depth)), F.lit(TREES))).alias("p"), "jaccard")
-            got = met.agg(F.count("*").alias("n"), F.sum(1 / F.col("p")).alias("w")).first()
-            found, weight = found + got["n"], weight + (got["w"] or 0.0)
-            parts.append(part)
-        if found and found / weight >= target:
-            break
-    result = reduce(DataFrame.union, parts)
+    result = copies.union(verified(meetings(base), docs, threshold, target, n))
     return result.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.round("jaccard", 6).alias("jaccard"))
 
 

@@ -74,6 +74,57 @@ def pair_blocks(bounds: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.nd
         at = to
 
 
+#: Rows of one name that meet in a block; names with more are cut into parts, and each two parts meet.
+BLOCK = 384
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with more than one content: their documents (of copies the least id) and the least of them."""
+    for group in whole_groups(batches, "node"):
+        node, k1, ids = (longs(group, c) for c in ("node", "k1", "doc_id"))
+        fresh = np.ones(len(node), bool)
+        fresh[1:] = (node[1:] != node[:-1]) | (k1[1:] != k1[:-1])
+        node, ids = node[fresh], ids[fresh]
+        bounds = runs(node)
+        size = np.diff(bounds)
+        least = np.repeat(np.minimum.reduceat(ids, bounds[:-1]), size)
+        more = np.repeat(size > 1, size)
+        yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.array(ids[more]), pa.array(least[more])], ["node", "doc_id", "least"])
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """From (node, k1, doc_id), where documents that share a node are to meet: doc_id and its names, each with the number of
+    parts that the name has; only documents that share a node. The name of a node is the least document near it, so that
+    what is shuffled grows with documents and not with pairs. Documents of the same content key k1 are one."""
+    sorted_nodes = nodes.repartition("node").sortWithinPartitions("node", "k1", "doc_id")
+    rows = written(sorted_nodes.mapInArrow(_shared, "node long, doc_id long, least long"), "nodes")
+    label = rows.groupBy("doc_id").agg(F.min("least").alias("label"))
+    name = rows.join(label, "doc_id").groupBy("node").agg(F.min("label").alias("name"))
+    placed = rows.select("node", "doc_id").join(name, "node").select("doc_id", "name").distinct()
+    parts = placed.groupBy("name").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    return placed.join(parts, "name").groupBy("doc_id").agg(F.collect_list(F.struct("name", "parts")).alias("names"))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, names, ...) brought together by name, sorted by block (``grp``); ``block_pairs`` reads them."""
+    own = [c for c in rows.columns if c not in ("doc_id", "names")]
+    out = rows.select("doc_id", *own, F.col("names.name").alias("all"), F.explode("names").alias("n"))
+    out = out.select("doc_id", *own, "all", "n.name", "n.parts", F.pmod(F.xxhash64("doc_id"), F.col("n.parts")).alias("part"))
+    out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    out = out.withColumns({"low": F.least("part", "other").cast("long"), "high": F.greatest("part", "other").cast("long"), "part": F.col("part").cast("long")})
+    out = out.select(F.xxhash64("name", "low", "high").alias("grp"), "doc_id", "name", "part", "low", "high", "all", *own)
+    return out.repartition("grp").sortWithinPartitions("grp", "doc_id")
+
+
+def block_pairs(group: pa.Table, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of whole blocks that are to be looked at; pairs within a part meet in that part's own block only."""
+    part, low, high, grp = (longs(group, c) for c in ("part", "low", "high", "grp"))
+    inside = np.where(low == high, -1, part)
+    for i, j in pair_blocks(runs(grp), most):
+        new = (inside[i] != inside[j]) | (inside[i] == -1)
+        yield i[new], j[new]
+
+
 def longs(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     return batch.column(name).to_numpy() if isinstance(batch, pa.Table) else batch.column(name).to_numpy(zero_copy_only=False)
 

@@ -29,14 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import kernel as K
-from lexmill.llm.common import binaries, longs, once_per_id, pair_blocks, ragged, runs, two_columns, whole_groups, written
+from lexmill.llm.common import binaries, block_pairs, blocks, longs, meetings, once_per_id, ragged, two_columns, whole_groups, written
 
 PAIRS = "a long, b long, jaccard double"
 
 N, THRESHOLD = 3, 0.5
 TREES, DEEPEST, SHALLOWEST, TARGET = 40, 5, 3, 0.995
-#: Documents of one name that meet in a block; names with more are cut into parts, and each two parts meet.
-BLOCK = 384
 #: Up to so many candidate documents their ids are broadcast (8 bytes each); beyond, texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -94,31 +92,6 @@ def _trie(base: DataFrame) -> DataFrame:
     return base.mapInArrow(run, "node long, k1 long, doc_id long")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes with more than one content: their documents (of copies the least id) and the least of them."""
-    for group in whole_groups(batches, "node"):
-        node, k1, ids = (longs(group, c) for c in ("node", "k1", "doc_id"))
-        fresh = np.ones(len(node), bool)
-        fresh[1:] = (node[1:] != node[:-1]) | (k1[1:] != k1[:-1])
-        node, ids = node[fresh], ids[fresh]
-        bounds = runs(node)
-        size = np.diff(bounds)
-        least = np.repeat(np.minimum.reduceat(ids, bounds[:-1]), size)
-        more = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.array(ids[more]), pa.array(least[more])], ["node", "doc_id", "least"])
-
-
-def meetings(base: DataFrame) -> DataFrame:
-    """doc_id and its names, each with the number of parts that the name has; only documents that share a node."""
-    trie = _trie(base).repartition("node").sortWithinPartitions("node", "k1", "doc_id")
-    rows = written(trie.mapInArrow(_shared, "node long, doc_id long, least long"), "nodes")
-    label = rows.groupBy("doc_id").agg(F.min("least").alias("label"))
-    name = rows.join(label, "doc_id").groupBy("node").agg(F.min("label").alias("name"))
-    placed = rows.select("node", "doc_id").join(name, "node").select("doc_id", "name").distinct()
-    parts = placed.groupBy("name").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    return placed.join(parts, "name").groupBy("doc_id").agg(F.collect_list(F.struct("name", "parts")).alias("names"))
-
-
 def gram_sets(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, its names and the sorted distinct hashes of its n-grams."""
 
@@ -152,7 +125,7 @@ def _verify(threshold: float, target: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "grp"):
-            ids, part, low, high, grp = (longs(group, c) for c in ("doc_id", "part", "low", "high", "grp"))
+            ids, grp = longs(group, "doc_id"), longs(group, "grp")
             names = [set(n) for n in group.column("all").to_pylist()]
             own = longs(group, "name")
             sets = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
@@ -160,12 +133,8 @@ def _verify(threshold: float, target: float):
             sig = K.minhash(np.concatenate(sets), begin, multipliers)
             levels = {d: _nodes(sig, d) for d in range(SHALLOWEST, DEEPEST + 1)}
             out: list[tuple[int, int, float]] = []
-            bounds = runs(grp)
-            inside = np.where(low == high, -1, part)
             found: dict[int, list[tuple[int, int, int]]] = {}
-            for i, j in pair_blocks(bounds, 1 << 15):
-                new = (inside[i] != inside[j]) | (inside[i] == -1)
-                i, j = i[new], j[new]
+            for i, j in block_pairs(group, 1 << 15):
                 depth = np.zeros(len(i), np.int64)
                 for d, nodes in levels.items():
                     depth[(nodes[i] == nodes[j]).any(1)] = d
@@ -194,12 +163,7 @@ def verified(near: DataFrame, docs: DataFrame, threshold: float, target: float,
     """The pairs of each block whose exact similarity reaches the threshold; every pair comes from one block."""
     near = written(near, "near")
     chosen = docs.join(F.broadcast(near) if near.count() <= BROADCAST_IDS else near, "doc_id")
-    sets = gram_sets(chosen, n).select("doc_id", "grams", F.col("names.name").alias("all"), F.explode("names").alias("n"))
-    rows = sets.select("doc_id", "grams", "all", "n.name", "n.parts", F.pmod(F.xxhash64("doc_id"), F.col("n.parts")).alias("part"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.withColumns({"low": F.least("part", "other").cast("long"), "high": F.greatest("part", "other").cast("long"), "part": F.col("part").cast("long")})
-    rows = rows.select(F.xxhash64("name", "low", "high").alias("grp"), "doc_id", "name", "part", "low", "high", "all", "grams")
-    return rows.repartition("grp").sortWithinPartitions("grp", "doc_id").mapInArrow(_verify(threshold, target), PAIRS)
+    return blocks(gram_sets(chosen, n)).mapInArrow(_verify(threshold, target), PAIRS)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, target: float = TARGET) -> DataFrame:
@@ -212,7 +176,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, targ
         docs = _same_content(docs, base, n)
     group = base.groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).filter("size > 1")
     copies = base.select("k1", "k2", F.col("doc_id").alias("b")).join(group, ["k1", "k2"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    result = copies.union(verified(meetings(base), docs, threshold, target, n))
+    result = copies.union(verified(meetings(_trie(base)), docs, threshold, target, n))
     return result.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.round("jaccard", 6).alias("jaccard"))
 
 

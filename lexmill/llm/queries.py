@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import jaccard_forest, mixing, packing, quality, secrets, toxicity
+from lexmill.llm import fingerprints, jaccard_forest, licenses, mixing, near_vectors, packing, quality, secrets, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
@@ -37,13 +41,29 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_forest.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.matched(_table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_secret_scans": op2_secret_scans,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_url_filters": op8_url_filters,
+    "op9_license_scans": op9_license_scans,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 #: Letters, digits and all beyond ASCII: the tokens of kernel.ALNUM.
@@ -52,7 +72,27 @@ WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 N, THRESHOLD = jaccard_forest.N, jaccard_forest.THRESHOLD
 WEIGHT = " ".join(f"WHEN source = '{k}' THEN {v}" for k, v in sorted(mixing.WEIGHTS.items()))
 LOT = f"md5('{mixing.SEED}:' || shard || ':' || coalesce(source, '') || ':' || block)"
+RULES = ", ".join(f"({i}, '{url_rules.prefix(p)}', '{a}')" for i, p, a in url_rules.RULES)
 SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, embedding FROM embeddings WHERE vec_id IS NOT NULL),
+     r AS (SELECT min(vec_id) AS vec_id, any_value(e) AS e, list(vec_id) AS ids FROM v
+           WHERE list_sum(list_transform(e, lambda x: x * x)) > 0 GROUP BY embedding)
+SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine
+FROM r a JOIN r b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {near_vectors.THRESHOLD}
+UNION ALL SELECT vec_id, unnest(list_filter(ids, lambda i: i <> vec_id)), 1.0 FROM r WHERE len(ids) > 1""",
+    "op8_url_filters": f"""
+WITH r(rule_id, prefix, action) AS (VALUES {RULES}),
+     h AS (SELECT row_number() OVER () AS n, page_id, url,
+             regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', ''), '\\.$', '') AS host,
+             regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^#]*)', 1) AS rest FROM pages),
+     k AS (SELECT n, page_id, url, CASE WHEN length(host) > 0 THEN array_to_string(list_reverse(string_split(host, '.')), ',')
+             || ',' || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS key FROM h),
+     m AS (SELECT n, page_id, url, rule_id, action,
+             row_number() OVER (PARTITION BY n ORDER BY length(prefix) DESC, rule_id) AS place,
+             CAST(count(rule_id) OVER (PARTITION BY n) AS INTEGER) AS n_rules
+           FROM k LEFT JOIN r ON starts_with(key, prefix))
+SELECT page_id, url, CAST(rule_id AS BIGINT) AS rule_id, action, n_rules FROM m WHERE place = 1""",
     "op4_mixing": f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS n_tokens,
              md5('{mixing.SEED}:' || doc_id) AS key FROM documents WHERE doc_id IS NOT NULL),

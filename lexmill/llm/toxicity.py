@@ -1,11 +1,12 @@
 """Toxicity: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
-Features, all per document and over the whole text: densities of three lexicons (insults, threats, obscenities), how much
-of them stands near a second-person pronoun, the share of capitals, of exclamation and question marks and of runs of
+Features, all per document and over the whole text: densities of three lexicons (insults, threats, obscenities) and of a
+fourth, learnt one, how much of them stands near a second-person pronoun, the share of capitals, of exclamation and question marks and of runs of
 them, of words spelt with digits or marks inside, of such words that are lexicon words when read plainly, and of words
-with a letter three times in a row. The trees (logistic loss, histogram splits) are fitted on at most ``TRAIN_ROWS`` labelled
-documents, drawn by a hash of their id; a further ``CALIBRATE_ROWS`` of those calibrate the score by pooling
-adjacent violators. Every document is then scored.
+with a letter three times in a row. At most ``LABELLED_ROWS`` labelled documents, drawn by a hash of their id, fit all: a quarter
+of them teaches the fourth lexicon (words and beginnings of words that are far more frequent in toxic documents
+than in others), a half the trees (logistic loss, histogram splits), and a quarter calibrates the score by pooling adjacent
+violators. Every document is then scored.
 
 Results (doc_id, p_toxic, toxic), one row for each row of the input.
 
@@ -25,9 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import kernel as K
+from lexmill.llm.common import written
 from lexmill.llm.quality import _hashes, member
 
-TRAIN_ROWS, CALIBRATE_ROWS = 12_000, 6_000
+LABELLED_ROWS = 24_000
+#: A unit is learnt if that many toxic documents have it and it is so many times as frequent in them as in others.
+LEARN_FROM, LEARN_RATIO = 3, 8.0
+STEMS = (4, 5)
 TREES, DEPTH, RATE, BINS, LEAST = 40, 3, 0.2, 32, 20
 TOXIC = 0.5
 NEAR = 6
@@ -43,7 +48,7 @@ OBSCENITIES = """fuck fucking fucked fucker shit shitty bullshit crap damn ass a
 hell mierda puta cabrón joder merde putain salope scheiße scheisse fotze hure verdammt""".split()
 SECOND_PERSON = "you your yours yourself youre u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú usted te ti tus su".split()
 
-NAMES = ("insult", "threat", "obscene", "near_you", "insult_share", "capitals", "bangs", "runs", "mixed", "disguised", "stretched", "log_words")
+NAMES = ("insult", "threat", "obscene", "learnt", "near_you", "insults", "learnts", "capitals", "bangs", "runs", "mixed", "disguised", "stretched", "log_words")
 _LEXICONS = tuple(_hashes(w) for w in (INSULTS, THREATS, OBSCENITIES))
 _ALL, _YOU = np.unique(np.concatenate(_LEXICONS)), _hashes(SECOND_PERSON)
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])
@@ -52,20 +57,33 @@ _PLAIN = np.array([ord({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "
 _INSIDE = np.array([K.ALNUM[c] or chr(c) in "$@!*" for c in range(256)])
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows x len(NAMES)."""
+def units(words: K.Tokens, ranges: K.Ranges) -> list[np.ndarray]:
+    """Hashes of the words, and of the beginnings of those that are longer than a stem (0 for the others)."""
+    out = [ranges.hash(words.start, words.end)]
+    for n in STEMS:
+        longer = words.end - words.start > n
+        out.append(np.where(longer, ranges.hash(words.start, np.minimum(words.start + n, words.end)) + np.uint64(n), 0))
+    return out
+
+
+def features(data: np.ndarray, offsets: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+    """Rows x len(NAMES). learnt: sorted hashes of the fourth lexicon."""
     small = K.lower(data)
     words = K.Tokens(small, offsets, K.ALNUM)
-    hashes = K.Ranges(small).hash(words.start, words.end)
+    own = units(words, K.Ranges(small))
+    hashes = own[0]
     n = np.maximum(words.counts, 1)
     hits = [member(hashes, lexicon) for lexicon in _LEXICONS]
-    any_hit = hits[0] | hits[1] | hits[2]
+    hits.append(np.any([member(u, learnt) for u in own], axis=0) if len(learnt) else np.zeros(len(hashes), bool))
+    any_hit = hits[0] | hits[1] | hits[2] | hits[3]
     row = words.row()
     you = np.flatnonzero(member(hashes, _YOU))
     near = np.zeros(len(hashes), bool)
-    for p in np.flatnonzero(any_hit).tolist():
-        lo, hi = np.searchsorted(you, [p - NEAR, p + NEAR + 1])
-        near[p] = bool((row[you[lo:hi]] == row[p]).any())
+    hit = np.flatnonzero(any_hit)
+    if len(you) and len(hit):
+        after = np.searchsorted(you, hit)
+        for at in (np.maximum(after - 1, 0), np.minimum(after, len(you) - 1)):  # the nearest on either side
+            near[hit] |= (np.abs(you[at] - hit) <= NEAR) & (row[you[at]] == row[hit])
     # Words as they may be disguised: letters among digits or marks, read plainly.
     spelt = K.Tokens(data, offsets, _INSIDE)
     letter = np.concatenate([[0], np.cumsum(_LETTER[data])])
@@ -85,7 +103,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.maximum(K.sums(_LETTER[data], offsets), 1)
     counts = [K.sums(h, words.first) for h in hits]
     out = [1000 * c / n for c in counts]
-    out += [1000 * K.sums(near, words.first) / n, np.minimum(counts[0], 50).astype(float), K.sums(_UPPER[data], offsets) / total]
+    out += [1000 * K.sums(near, words.first) / n, np.minimum(counts[0], 50).astype(float), np.minimum(counts[3], 50).astype(float), K.sums(_UPPER[data], offsets) / total]
     out += [K.sums(bang, offsets) / n, K.sums(doubled, offsets) / n, K.sums(middle, spelt.first) / n, 1000 * K.sums(plain, spelt.first) / n]
     out += [1000 * K.sums(triple, offsets) / n, np.log1p(words.counts)]
     return np.stack(out, axis=1).astype(np.float64)
@@ -153,36 +171,60 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, trees: Boosted | None, steps: tuple[np.ndarray, np.ndarray], share: float):
-        self.trees, self.steps, self.share = trees, steps, share
+    def __init__(self, learnt: np.ndarray, trees: Boosted | None, steps: tuple[np.ndarray, np.ndarray], share: float):
+        self.learnt, self.trees, self.steps, self.share = learnt, trees, steps, share
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.trees is None:
-            return np.full(len(x), self.share)
-        return np.interp(self.trees.score(x), *self.steps)
+            return np.full(len(offsets) - 1, self.share)
+        return np.interp(self.trees.score(features(data, offsets, self.learnt)), *self.steps)
+
+
+def learn(chosen: DataFrame) -> np.ndarray:
+    """Units of the fourth lexicon, from (toxic, text) of the rows that teach it; equal texts count once."""
+    once = chosen.dropDuplicates(["text"])
+    toxic, total = once.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in K.texts(batch.column("text")):
+                small = K.lower(data)
+                words = K.Tokens(small, offsets, K.ALNUM)
+                row = words.row()
+                found = np.unique(np.concatenate([np.stack([row.astype(np.uint64), u], 1) for u in units(words, K.Ranges(small))]), axis=0)
+                found = found[found[:, 1] != 0]
+                marks = batch.column("toxic").slice(i, j - i).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 1].copy().view(np.int64)), pa.array(marks[found[:, 0].astype(np.int64)], pa.int32())], ["unit", "toxic"])
+
+    counted = once.select("toxic", "text").mapInArrow(run, "unit long, toxic int").groupBy("unit").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    often = (F.col("t") + 0.5) / (toxic + 1.0) >= LEARN_RATIO * (F.col("n") - F.col("t") + 0.5) / (total - toxic + 1.0)
+    kept = counted.filter((F.col("t") >= LEARN_FROM) & often).select("unit").toPandas()["unit"]
+    return np.sort(kept.to_numpy(np.int64).view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """From (doc_id, text) and (doc_id, toxic); the draw is bounded, whatever the number of labels."""
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("doc_id", "toxic")
-    drawn = marks.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(TRAIN_ROWS + CALIBRATE_ROWS)
+    drawn = marks.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(LABELLED_ROWS)
+    part = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4)).alias("part")
+    # The limit bounds what is broadcast.
+    chosen = written(docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"), part), "labelled")
+    learnt = learn(chosen.filter("part = 0"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in K.texts(batch.column("text")):
-                x = features(data, offsets)
-                columns = [batch.column("doc_id").slice(i, j - i), batch.column("toxic").slice(i, j - i), *(pa.array(c) for c in x.T)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", *NAMES])
+                x = features(data, offsets, learnt)
+                columns = [batch.column(c).slice(i, j - i) for c in ("doc_id", "toxic", "part")]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in x.T)], ["doc_id", "toxic", "part", *NAMES])
 
-    chosen = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")  # the limit bounds what is broadcast
-    rows = chosen.mapInArrow(run, "doc_id long, toxic int, " + ", ".join(f"{n} double" for n in NAMES)).toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", kind="stable", key=lambda c: (c.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)).astype("uint64"))
-    x, y = rows[list(NAMES)].to_numpy(), rows["toxic"].to_numpy().astype(float)
-    cut = max(1, len(y) * TRAIN_ROWS // (TRAIN_ROWS + CALIBRATE_ROWS))
-    if len(y) < 50 or not 0 < y[:cut].mean() < 1:
-        return Model(None, (np.zeros(1), np.zeros(1)), float(y.mean()) if len(y) else 0.0)
-    trees = Boosted().fit(x[:cut], y[:cut])
-    return Model(trees, isotonic(trees.score(x[cut:]), y[cut:]), 0.0)
+    rows = chosen.filter("part > 0").mapInArrow(run, "doc_id long, toxic int, part long, " + ", ".join(f"{n} double" for n in NAMES)).toPandas()
+    rows = rows.sort_values(["doc_id", *NAMES], kind="stable").drop_duplicates("doc_id")
+    x, y, last = rows[list(NAMES)].to_numpy(), rows["toxic"].to_numpy().astype(float), rows["part"].to_numpy() == 3
+    if len(y) < 50 or not 0 < y[~last].mean() < 1 or not last.any():
+        return Model(learnt, None, (np.zeros(1), np.zeros(1)), float(y.mean()) if len(y) else 0.0)
+    trees = Boosted().fit(x[~last], y[~last])
+    return Model(learnt, trees, isotonic(trees.score(x[last]), y[last]), 0.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,7 +236,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             p = np.zeros(batch.num_rows)
             for i, j, data, offsets in K.texts(batch.column("text")):
-                p[i:j] = model(features(data, offsets))
+                p[i:j] = model(data, offsets)
             p = np.round(p, 6)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(p >= TOXIC)], ["doc_id", "p_toxic", "toxic"])
 

@@ -171,16 +171,25 @@ def label_model(counts: dict[str, int], rounds: int = 200) -> tuple[float, np.nd
     return prior, accuracy, dict(zip(order, good.tolist()))
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights and bias of a logistic model of the mean feature weight of a row, by Adam over the whole sample."""
+def distinct(features: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's distinct features and their values, and the index of each row's first."""
+    sizes = np.diff(begin)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+    pairs, count = np.unique(row * DIMENSIONS + features, return_counts=True)
+    own = pairs // DIMENSIONS
+    value = np.sqrt(count / sizes[own])  # the square root keeps rare marks of poor text from drowning
+    return (pairs % DIMENSIONS).astype(np.uint16), value.astype(np.float32), np.searchsorted(own, np.arange(len(sizes) + 1))
+
+
+def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights and bias of a logistic model of the weighted features of a row, by Adam over the whole sample."""
     weights = np.zeros(DIMENSIONS + 1)
     if not len(rows):
         return weights
-    ids, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    pairs, count = np.unique(np.repeat(np.arange(len(rows), dtype=np.int64), sizes) * DIMENSIONS + ids, return_counts=True)
-    row, col = pairs // DIMENSIONS, pairs % DIMENSIONS
-    value = np.sqrt(count / sizes[row])  # the square root keeps rare marks of poor text from drowning
-    begin = np.searchsorted(row, np.arange(len(rows)))
+    sizes = np.array([len(f) for f, _ in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    col, value = (np.concatenate(x) for x in zip(*rows))
+    begin = np.cumsum(sizes) - sizes
     balance = np.where(target > 0.5, 0.5 / max((target > 0.5).mean(), 1e-3), 0.5 / max((target <= 0.5).mean(), 1e-3))
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, rounds + 1):
@@ -200,10 +209,8 @@ def rate(weights: np.ndarray, features: np.ndarray, begin: np.ndarray) -> np.nda
     out = np.zeros(len(sizes))
     have = np.flatnonzero(sizes)
     if len(have):
-        row = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
-        pairs, count = np.unique(row * DIMENSIONS + features, return_counts=True)
-        r = pairs // DIMENSIONS
-        z = np.bincount(r, np.sqrt(count / sizes[r]) * weights[pairs % DIMENSIONS], len(sizes)) + weights[-1]
+        col, value, first = distinct(features, begin)
+        z = np.bincount(np.repeat(np.arange(len(sizes)), np.diff(first)), value * weights[col], len(sizes)) + weights[-1]
         out[have] = (1 / (1 + np.exp(-np.clip(z, -50, 50))))[have]
     return out
 
@@ -225,17 +232,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
                 features, begin = page.features()
                 label = [posterior.get(bytes(v + 48).decode(), prior) for v in page.votes()]
                 keep = pa.array(page.words.counts > 0)
-                yield pa.RecordBatch.from_arrays([ragged(features, begin).filter(keep), pa.array(label, pa.float64()).filter(keep)], ["features", "label"])
+                col, value, first = distinct(features, begin)
+                columns = [ragged(col, first), ragged(value, first), pa.array(label, pa.float64())]
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["features", "values", "label"])
 
-    drawn = sample.mapInArrow(run, "features binary, label double").toArrow()
+    drawn = sample.mapInArrow(run, "features binary, values binary, label double").toArrow()
     target = drawn.column("label").to_numpy()
-    rows = [np.frombuffer(f, np.int32) for f in drawn.column("features").to_pylist()]
-    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # whatever order tasks ended in
+    cols, values = drawn.column("features").to_pylist(), drawn.column("values").to_pylist()
+    order = sorted(range(len(cols)), key=lambda i: (len(cols[i]), cols[i], values[i]))  # whatever order tasks ended in
+    rows = [(np.frombuffer(cols[i], np.uint16), np.frombuffer(values[i], np.float32)) for i in order]
     if not len(target) or target.min() > 0.5 or target.max() <= 0.5:
         weights = np.zeros(DIMENSIONS + 1)
         weights[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
         return weights
-    return fit_linear([rows[i] for i in order], target[order])
+    return fit_linear(rows, target[order])
 
 
 def _rated(batch: pa.RecordBatch, text: str, weights: np.ndarray) -> np.ndarray:

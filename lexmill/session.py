@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -28,3 +33,22 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table; Spark prunes columns and pushes filters into this scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, for functions that run in Python there. The archive is read by the
+    driver's file server, as one given with --py-files would be."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lexmill-ship-")
+    archive = os.path.join(folder, "lexmill.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path("lexmill") / p.relative_to(root)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)

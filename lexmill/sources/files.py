@@ -52,8 +52,8 @@ def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.groupBy(F.regexp_replace("path", r"/[^/]*$", "").alias("directory")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-def write_corpus(df: DataFrame, path: str, most_rows: int = 1_000_000, codec: str = "zstd") -> None:
-    """JSON lines in committed files of bounded size; a second run replaces the first."""
+def write_corpus(df: DataFrame, path: str, most_rows: int = 1_000_000, codec: str = "gzip") -> None:
+    """JSON lines in committed files of bounded size; a second run replaces the first. The text writer has zstd only with native libraries."""
     df.write.mode("overwrite").option("maxRecordsPerFile", most_rows).option("compression", codec).json(path)
 
 

@@ -115,21 +115,46 @@ def index(prints: DataFrame) -> DataFrame:
     return prints.mapInArrow(run, "node long, k1 long, doc_id long")
 
 
-def distances(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Edit distance of many pairs at once: Myers' bit vectors, a pair in one 64-bit word. a, b: pairs x LONGEST codes; n, m: lengths."""
-    one = np.uint64(1)
-    bits = one << np.arange(LONGEST, dtype=np.uint64)
-    full = np.where(n >= 64, ~np.uint64(0), (one << np.minimum(n, 63).astype(np.uint64)) - one)
+class Coded:
+    """Signatures as arrays: characters, lengths, the bit mask of each character's positions, and how often each stands there."""
+
+    def __init__(self, sigs: list[str]):
+        codes, self.size = _codes(sigs)
+        self.codes = _PLACE[codes]
+        row, at = np.nonzero(codes)
+        self.masks = np.zeros((len(sigs), len(ALPHABET) + 1), np.uint64)
+        np.bitwise_or.at(self.masks, (row, self.codes[row, at]), np.uint64(1) << at.astype(np.uint64))
+        self.often = np.zeros((len(sigs), len(ALPHABET)), np.uint8)
+        np.add.at(self.often, (row, self.codes[row, at]), 1)
+
+
+#: Place of a byte in the alphabet; all that isn't in it comes after.
+_PLACE = np.full(256, len(ALPHABET), np.int64)
+_PLACE[ALPHABET] = np.arange(len(ALPHABET))
+
+
+def least_distances(a: Coded, x: np.ndarray, b: Coded, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distances, from how often each character stands in either."""
+    common = np.minimum(a.often[x], b.often[y]).sum(1, dtype=np.int64)
+    return np.maximum(a.size[x], b.size[y]) - common
+
+
+def distances(a: Coded, x: np.ndarray, b: Coded, y: np.ndarray) -> np.ndarray:
+    """Edit distance of rows x of a and y of b, many pairs at once: Myers' bit vectors, a pair in one 64-bit word."""
+    one, zero = np.uint64(1), np.uint64(0)
+    n, m = a.size[x], b.size[y]
+    full = np.where(n >= 64, ~zero, (one << np.minimum(n, 63).astype(np.uint64)) - one)
     top = one << np.maximum(n - 1, 0).astype(np.uint64)
     plus, minus, score = full.copy(), np.zeros(len(n), np.uint64), n.astype(np.int64).copy()
+    text = b.codes[y]
     for j in range(int(m.max(initial=0))):
-        eq = ((a == b[:, j : j + 1]) * bits).sum(1, dtype=np.uint64) & full
+        eq = a.masks[x, text[:, j]]
         cross = eq | minus
         eq |= ((eq & plus) + plus) ^ plus
         up = minus | ~(eq | plus)
         down = plus & eq
         live = j < m
-        score += live * (((up & top) != 0).astype(np.int64) - ((down & top) != 0))
+        score += live * (((up & top) != zero).astype(np.int64) - ((down & top) != zero))
         up = (up << one) | one
         down <<= one
         plus = np.where(live, (down | ~(cross | up)) & full, plus)
@@ -149,19 +174,20 @@ def _compare(least: int):
             k = longs(group, "k").astype(np.int64)
             names = [set(n) for n in group.column("all").to_pylist()]
             sig = [group.column(c).to_pylist() for c in ("sig", "sig2")]
-            coded = [_codes(s) for s in sig]
+            coded = [Coded(s) for s in sig]
             best: dict[tuple[int, int], int] = {}
             for i, j in block_pairs(group, 1 << 15):
                 for p, q, up in ((0, 0, 0), (1, 1, 0), (0, 1, 1), (1, 0, -1)):  # k of i is that of j plus up
                     like = (k[i] == k[j] + up) & (ids[i] != ids[j])
-                    n, m = coded[p][1][i], coded[q][1][j]
+                    n, m = coded[p].size[i], coded[q].size[j]
                     longer = np.maximum(n, m)
                     like &= (np.minimum(n, m) >= RUN) & (100 * np.minimum(n, m) >= least * longer)
-                    x, y = i[like], j[like]
+                    x, y, longer = i[like], j[like], longer[like]
+                    able = 100 * (longer - least_distances(coded[p], x, coded[q], y)) >= least * longer
+                    x, y, longer = x[able], y[able], longer[able]
                     if not len(x):
                         continue
-                    d = distances(coded[p][0][x], n[like], coded[q][0][y], m[like])
-                    score = 100 * (longer[like] - d) // longer[like]
+                    score = 100 * (longer - distances(coded[p], x, coded[q], y)) // longer
                     for s, t, points in zip(*(c[score >= least].tolist() for c in (x, y, score))):
                         if own[s] == min(names[s] & names[t]) and _share(sig[p][s], sig[q][t]):
                             pair = (int(min(ids[s], ids[t])), int(max(ids[s], ids[t])))

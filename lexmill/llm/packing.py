@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import longs, runs, whole_groups
+from lexmill.llm.common import longs, runs, whole_groups, written
 from lexmill.llm.mixing import n_tokens
 
 TIERS = (512, 2048, 8192)
@@ -94,6 +94,7 @@ def packed(docs: DataFrame, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """See the module's docstring."""
     tiers, largest = tuple(sorted(tiers)), max(tiers)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens(F.col("text")).alias("n")).filter("doc_id IS NOT NULL AND n > 0")
+    rows = written(rows, "lengths")  # ids and counts: texts are read once
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_TOKENS))
     pieces = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / largest))).alias("piece"))

@@ -19,12 +19,21 @@ def _joined(c: Column) -> Column:
     return F.array_join(c.cast("array<string>"), " ")
 
 
-def chunk_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("source = 'src2'").select("doc_id", T.token_ids(F.col("text"), VOCABULARY).alias("ids"))
-    rows = T.chunk_arrays(docs, "ids", LENGTH, STRIDE, PAD)
+def _chunked(docs: DataFrame) -> DataFrame:
+    rows = T.chunk_arrays(docs.select("doc_id", T.token_ids(F.col("text"), VOCABULARY).alias("ids")), "ids", LENGTH, STRIDE, PAD)
     return rows.select("doc_id", "chunk_no", *(_joined(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "labels")))
 
 
+def chunk_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``chunk_arrays_whole`` that its SQL twin has: those of one source."""
+    return _chunked(table(spark, sf_dir, "documents").filter("source = 'src2'"))
+
+
+def chunk_arrays_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of every source; checked against a fixture."""
+    return _chunked(table(spark, sf_dir, "documents"))
+
+
 def token_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by status: valid JSON with a text, empty, or invalid."""
     lines = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 == 0, F.substring("props", 1, 3)).when(F.col("event_id") % 7 == 0, F.lit('{"k": ""}')).otherwise(F.col("props")).alias("line"))
@@ -94,7 +103,7 @@ def merge_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.ranked(first.unionByName(second), "m", "id").select("id", "rank", F.md5("output").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_arrays, token_status, max_steps, qa_pairs, prompt_text, sft_encode, masked_check, max_lengths, table_markdown, paragraph_join, answer_render, merge_sets)}
+QUERIES = {f.__name__: f for f in (chunk_arrays, chunk_arrays_whole, token_status, max_steps, qa_pairs, prompt_text, sft_encode, masked_check, max_lengths, table_markdown, paragraph_join, answer_render, merge_sets)}
 
 _ids = lambda c: f"list_transform(regexp_extract_all({c}, '\\S+'), lambda w: CAST(CAST('0x' || left(md5(w), 8) AS BIGINT) % {VOCABULARY} + 1 AS INTEGER))"
 _join = lambda c: f"array_to_string({c}, ' ')"

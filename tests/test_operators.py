@@ -1,6 +1,7 @@
 """Unit and property tests of the operators on hand-written cases."""
 
 import binascii
+import hashlib
 import io
 import json
 import tarfile
@@ -10,11 +11,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lexmill import registry
 from lexmill.functions import text as X
 from lexmill.operators import filings as O
 from lexmill.operators import instruct as I
 from lexmill.operators import ordering, report, selection
 from lexmill.operators import tokens as T
+from lexmill.plans import training
 from lexmill.sources import files, tar
 from lexmill.streaming import feed
 
@@ -113,6 +116,21 @@ def test_chunk_arrays(spark, n):
         assert r["attention_mask"] == [1] * len(own) + [0] * (length - len(own))
 
 
+def test_chunk_arrays_take_every_source(spark, tmp_path):
+    texts = {1: ("src2", "a b c"), 2: ("src0", " ".join(f"w{i}" for i in range(150))), 3: (None, "one two"), 4: ("src19", "")}
+    spark.createDataFrame([(i, t, s) for i, (s, t) in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, (_, t) in texts.items():
+        ids = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % training.VOCABULARY + 1 for w in t.split()]
+        for k in range(-(-max(len(ids), 64) // 56)):
+            own = ids[k * 56 : k * 56 + 64]
+            row = " ".join(map(str, own + [0] * (64 - len(own))))
+            want.add((i, k, row, " ".join(["1"] * len(own) + ["0"] * (64 - len(own))), row))
+    got = [tuple(r) for r in registry.QUERIES["chunk_arrays_whole"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert set(map(tuple, training.chunk_arrays(spark, str(tmp_path)).collect())) == {r for r in want if r[0] == 1}
+
+
 def test_sft_masks(spark):
     df = spark.createDataFrame([([1, 2], [3, 4]), ([1, 2, 3, 4, 5, 6], [7])], "p array<int>, o array<int>")
     rows = df.select(*(c.alias(k) for k, c in T.sft(F.col("p"), F.col("o"), 6, 0, 9).items())).withColumns({"m": T.masked(F.col("labels")), "f": T.first_response(F.col("labels"))}).collect()

@@ -3,8 +3,9 @@
 Labelled credentials (format, value) fill one prefix tree per format over character classes. Level by level,
 states whose distributions of next symbol and of ending are statistically compatible (Hoeffding's bound, on
 them and on what follows) merge, and states seen too rarely join the level's most frequent compatible state, so that
-the result is a small acyclic probabilistic automaton that keeps lengths and fixed marks. A tail state carries formats
-that may go on beyond the longest example. Every candidate of every text (a maximal run of at least ``SHORTEST``
+the result is a small probabilistic automaton that keeps lengths and fixed marks. Marks that all examples of a format hold
+equally often cut a value into fields; where a field's length varies, a loop reads what goes on beyond the shortest example,
+with the probabilities of staying and of leaving that the examples give, so that longer fields than any example's are read too. Every candidate of every text (a maximal run of at least ``SHORTEST``
 credential characters with a digit in it, in which separators such as ``=`` or ``:`` may be) is scored by
 each automaton, as log likelihood against a model of ordinary characters; it is a secret of the most likely format if
 that passes the format's threshold, the least score of held-out labelled examples less a margin.
@@ -35,6 +36,8 @@ SHORTEST = 16
 CANDIDATE = r"[A-Za-z0-9_+/=.:\-]{16,}"
 ALPHA, RARE, SMOOTH, MARGIN = 0.05, 6, 0.01, 2.0
 EXAMPLES = 300
+#: A last field of up to so many lengths, none of them rare, keeps them.
+FEW = 3
 END = "$"
 
 _RUN = np.array([chr(c).isascii() and (chr(c).isalnum() or chr(c) in "_+/=.:-") for c in range(256)])
@@ -59,8 +62,8 @@ _OTHER = 0.01
 class Automaton:
     """moves[state][symbol] = (next state, probability); ends[state] = probability of ending there."""
 
-    def __init__(self, moves: list[dict[str, tuple[int, float]]], ends: list[float], literal: list[dict[str, dict[str, float]]], unseen: list[float]):
-        self.moves, self.ends, self.literal, self.unseen = moves, ends, literal, unseen
+    def __init__(self, moves: list[dict[str, tuple[int, float]]], ends: list[float], literal: list[dict[str, dict[str, float]]], unseen: list[float], loops: set[int]):
+        self.moves, self.ends, self.literal, self.unseen, self.loops = moves, ends, literal, unseen, loops
 
     def score(self, value: str) -> float:
         """Log likelihood ratio of the whole value against ordinary characters."""
@@ -68,6 +71,8 @@ class Automaton:
         for c in value:
             s = symbol(c)
             to, p = self.moves[state].get(s, (state, self.unseen[state]))
+            if to == state and state in self.loops and s in self.moves[state]:
+                continue  # how long a loop goes on is no evidence, else any long run would be a secret
             letters = self.literal[state].get(s)
             # Within a class: how this state's fixed characters (prefixes) favour one letter; else uniform.
             inside = letters.get(c, SMOOTH) * _SIZE.get(s, 1) if letters else 1.0
@@ -88,54 +93,80 @@ def compatible(a: Counter, b: Counter, alpha: float = ALPHA) -> bool:
     return all(abs(a[s] / n - b[s] / m) <= bound for s in a.keys() | b.keys())
 
 
+def _parts(values: list[str]) -> list[tuple[list[str], list[str] | None]]:
+    """Parts that all values have: what is read once, of one length, and what a loop reads after it. The last part has no loop."""
+    counts = {c: {v.count(c) for v in values} for c in set("".join(values)) if not c.isalnum()}
+    marks = "".join(re.escape(c) for c, n in sorted(counts.items()) if len(n) == 1)
+    fields = [re.split(f"(?=[{marks}])", v) if marks else [v] for v in values]
+    parts: list[tuple[list[str], list[str] | None]] = []
+    once = [""] * len(values)
+    for k, column in enumerate(zip(*fields)):
+        lengths = Counter(map(len, column))
+        least = min(lengths)
+        if len(lengths) == 1 or k == len(fields[0]) - 1 and len(lengths) <= FEW and min(lengths.values()) >= RARE:
+            once = [o + c for o, c in zip(once, column)]
+        else:
+            parts.append(([o + c[:least] for o, c in zip(once, column)], [c[least:] for c in column]))
+            once = [""] * len(values)
+    return [*parts, (once, None)]
+
+
 def infer(values: list[str]) -> Automaton:
     """The automaton of one format. Each level of the prefix tree is a list of bags of suffixes: merging two states
-    joins their bags, which merges all that follows."""
-    longest = max(map(len, values))
-    levels: list[list[list[str]]] = [[sorted(values)]]
+    joins their bags, which merges all that follows. All states that end a part merge into the loop that follows it."""
     moves: list[dict[str, tuple[int, float]]] = []
     ends: list[float] = []
     unseen: list[float] = []
     literal: list[dict[str, dict[str, float]]] = []
-    for depth in range(longest + 1):
-        nxt: list[list[str]] = []
-        origin: list[tuple[int, str]] = []
-        base = len(moves)
-        for bag in levels[-1]:
-            split: dict[str, list[str]] = {}
-            for v in bag:
-                if len(v) > depth:
-                    split.setdefault(symbol(v[depth]), []).append(v)
-            total = len(bag)
-            moves.append({s: (-1, len(vs) / (total + 1)) for s, vs in split.items()})
-            ends.append((sum(len(v) == depth for v in bag) + 1e-4) / (total + 1))
-            unseen.append(0.5 / (total + 1))
-            chars = {s: Counter(v[depth] for v in vs) for s, vs in split.items()}
-            fixed = {s: {c: k / n.total() for c, k in n.items()} for s, n in chars.items() if s in _SIZE and n.total() >= 5 * RARE and len(n) <= 2}
-            literal.append(fixed)
-            for s, vs in sorted(split.items()):
-                origin.append((len(moves) - 1, s))
-                nxt.append(vs)
-        if not nxt:
-            break
-        # Merge what is compatible, the most frequent states first; rare ones fall to the first that they fit, or to the largest.
-        order = sorted(range(len(nxt)), key=lambda i: (-len(nxt[i]), origin[i]))
-        merged: list[list[str]] = []
-        place: dict[int, int] = {}
-        for i in order:
-            own = _next(nxt[i], depth + 1)
-            at = next((k for k, bag in enumerate(merged) if compatible(_next(bag, depth + 1), own) and compatible(_next(bag, depth + 2), _next(nxt[i], depth + 2))), None)
-            if at is None and len(nxt[i]) < RARE and merged:
-                at = 0
-            if at is None:
-                at = len(merged)
-                merged.append([])
-            merged[at] = merged[at] + nxt[i]
-            place[i] = at
-        for i, (state, s) in enumerate(origin):
-            moves[state][s] = (base + len(levels[-1]) + place[i], moves[state][s][1])
-        levels.append(merged)
-    return Automaton(moves, ends, literal, unseen)
+    loops: set[int] = set()
+    loop: Counter = Counter()  # what the first state of this part reads again and again
+    for part, tails in _parts(values):
+        longest = max(map(len, part))
+        level: list[list[str]] = [sorted(part)]
+        for depth in range(longest + (tails is None)):
+            nxt: list[list[str]] = []
+            origin: list[tuple[int, str]] = []
+            base = len(moves)
+            for bag in level:
+                split: dict[str, list[str]] = {}
+                for v in bag:
+                    if len(v) > depth:
+                        split.setdefault(symbol(v[depth]), []).append(v)
+                again = loop if depth == 0 else Counter()
+                total = len(bag) + again.total()
+                moves.append({s: (-1, len(vs) / (total + 1)) for s, vs in split.items()} | {s: (base, n / (total + 1)) for s, n in again.items()})
+                if again:
+                    loops.add(base)
+                over = tails is None and sum(len(v) == depth for v in bag)
+                ends.append((over + 1e-4) / (total + 1))
+                unseen.append(0.5 / (total + 1))
+                chars = {s: Counter(v[depth] for v in vs) for s, vs in split.items()}
+                fixed = {s: {c: k / n.total() for c, k in n.items()} for s, n in chars.items() if s in _SIZE and n.total() >= 5 * RARE and len(n) <= 2}
+                literal.append(fixed)
+                for s, vs in sorted(split.items()):
+                    origin.append((len(moves) - 1, s))
+                    nxt.append(vs)
+            if not nxt:
+                break
+            # Merge what is compatible, the most frequent states first; rare ones fall to the first that they fit, or to the largest.
+            order = sorted(range(len(nxt)), key=lambda i: (-len(nxt[i]), origin[i]))
+            merged: list[list[str]] = []
+            place: dict[int, int] = {}
+            for i in order:
+                own = _next(nxt[i], depth + 1)
+                at = next((k for k, bag in enumerate(merged) if compatible(_next(bag, depth + 1), own) and compatible(_next(bag, depth + 2), _next(nxt[i], depth + 2))), None)
+                if merged and (tails is not None and depth + 1 == longest or at is None and len(nxt[i]) < RARE):
+                    at = 0
+                if at is None:
+                    at = len(merged)
+                    merged.append([])
+                merged[at] = merged[at] + nxt[i]
+                place[i] = at
+            for i, (state, s) in enumerate(origin):
+                moves[state][s] = (base + len(level) + place[i], moves[state][s][1])
+            level = merged
+        loop = Counter(symbol(c) for t in tails or [] for c in t)
+    return Automaton(moves, ends, literal, unseen, loops)
 
 
 def _next(bag: list[str], depth: int) -> Counter:
@@ -143,10 +174,12 @@ def _next(bag: list[str], depth: int) -> Counter:
 
 
 def labelled(seed: int = 17, n: int = EXAMPLES) -> list[tuple[str, str]]:
-    """Credentials of publicly documented formats, made from a seed: what a labelled set holds."""
+    """Credentials of publicly documented formats, made from a seed: what a labelled set holds. Those that have no one length are drawn
+    at many, from the shortest that the format allows."""
     rng = np.random.default_rng(seed)
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     pick = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
+    size = lambda least, most: int(least * (most / least) ** rng.random())
     makers = {
         "access_key_id": lambda: ["AKIA", "ASIA"][rng.integers(2)] + pick(up + "234567", 16),
         "cloud_api_key": lambda: "AIza" + pick(low + up + num + "_-", 35),
@@ -155,10 +188,10 @@ def labelled(seed: int = 17, n: int = EXAMPLES) -> list[tuple[str, str]]:
         "hex_40": lambda: pick("0123456789abcdef", 40),
         "hex_40_upper": lambda: pick("0123456789ABCDEF", 40),
         "hex_64": lambda: pick("0123456789abcdef", 64),
-        "chat_token": lambda: "xoxb-" + pick(num, 12) + "-" + pick(num, 12) + "-" + pick(low + up + num, 24),
-        "payment_key": lambda: ["sk_live_", "rk_live_"][rng.integers(2)] + pick(low + up + num, 24),
+        "chat_token": lambda: "xoxb-" + pick(num, size(10, 14)) + "-" + pick(num, size(10, 14)) + "-" + pick(low + up + num, 24),
+        "payment_key": lambda: ["sk_live_", "rk_live_"][rng.integers(2)] + pick(low + up + num, size(24, 108)),
         "secret_key_40": lambda: pick(low + up + num + "/+", 40),
-        "web_token": lambda: "eyJ" + pick(low + up + num, 33) + "." + "eyJ" + pick(low + up + num + "_-", 57) + "." + pick(low + up + num + "_-", 43),
+        "web_token": lambda: "eyJ" + pick(low + up + num + "_-", size(16, 120)) + "." + "eyJ" + pick(low + up + num + "_-", size(7, 900)) + "." + pick(low + up + num + "_-", size(43, 684)),
         "uuid_key": lambda: "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
     }
     return [(name, make()) for name, make in makers.items() for _ in range(n)]

@@ -183,6 +183,23 @@ def test_grammar_inference_tells_formats(spark):
     assert sum(scanner.best(w) is not None for w in words) <= 3
 
 
+def test_grammar_inference_reads_other_lengths():
+    """Signed web tokens and keys shorter and longer than most examples, or than any; long runs of other kinds aren't any format."""
+    scanner, rng = secrets.Scanner(), np.random.default_rng(5)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda n, more="": "".join((chars + more)[i] for i in rng.integers(0, len(chars + more), n))
+    for header, payload, signature in ((17, 12, 43), (33, 57, 43), (33, 80, 43), (33, 140, 86), (60, 400, 342), (200, 3000, 683), (33, 20_000, 1000)):
+        tokens = [f"eyJ{pick(header)}.eyJ{pick(payload, '_-')}.{pick(signature, '_-')}" for _ in range(20)]
+        assert sum((scanner.best(v) or ("",))[0] == "web_token" for v in tokens) >= 19, (header, payload, signature)
+    for n in (24, 40, 99, 200):
+        assert sum((scanner.best("sk_live_" + pick(n)) or ("",))[0] == "payment_key" for _ in range(20)) >= 19, n
+    for a, b in ((10, 13), (13, 10), (11, 11)):
+        assert scanner.best("xoxb-" + "7" * a + "-" + "3" * b + "-" + pick(24)), (a, b)
+    assert not any(scanner.best(pick(n, more)) for n in (100, 500, 3000) for more in ("", "+/", "_-") for _ in range(10))
+    two = secrets.infer([pick(n) for n in (20, 30) for _ in range(60)])
+    assert two.score("A" * 20) > two.score("A" * 25) and not two.loops  # a few exact lengths stay exact
+
+
 def test_weak_labels_need_no_gold():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.8

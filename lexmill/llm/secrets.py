@@ -5,10 +5,12 @@ states whose distributions of next symbol and of ending are statistically compat
 them and on what follows) merge, and states seen too rarely join the level's most frequent compatible state, so that
 the result is a small probabilistic automaton that keeps lengths and fixed marks. Marks that all examples of a format hold
 equally often cut a value into fields; where a field's length varies, a loop reads what goes on beyond the shortest example,
-with the probabilities of staying and of leaving that the examples give, so that longer fields than any example's are read too. Every candidate of every text (a maximal run of at least ``SHORTEST``
-credential characters with a digit in it, in which separators such as ``=`` or ``:`` may be) is scored by
-each automaton, as log likelihood against a model of ordinary characters; it is a secret of the most likely format if
-that passes the format's threshold, the least score of held-out labelled examples less a margin.
+with the probabilities of staying and of leaving that the examples give, so that longer fields than any example's are read too. Every maximal run of at least ``SHORTEST``
+credential characters with a digit in it is read from its start and from behind each separator (``/``, ``:``, ``=``), and ends
+before each separator or with the run; each such span of ``SHORTEST`` characters or more is a candidate and is scored by
+each automaton, as log likelihood against a model of ordinary characters. It is a secret of the most likely format if
+that passes the format's threshold, the least score of held-out labelled examples less a margin; of secrets that overlap the
+likeliest counts. Reading stops where no continuation can pass any more, so that the work grows with a run's length.
 
 Results (doc_id, start, length, format, score), one row per secret; ``start`` counts characters from 0. The value isn't
 repeated in the result. ``redacted`` returns the texts with each secret replaced by ``<SECRET>``.
@@ -42,7 +44,8 @@ END = "$"
 
 _RUN = np.array([chr(c).isascii() and (chr(c).isalnum() or chr(c) in "_+/=.:-") for c in range(256)])
 _DIGIT = np.array([48 <= c <= 57 for c in range(256)])
-_LEAD = re.compile(r"^[A-Za-z0-9_.\-]*[=:]+(?=[A-Za-z0-9_+/\-])")
+_SEPARATOR = re.compile(r"[/:=]+")
+_TRAIL = ".:=-"
 
 
 def symbol(c: str) -> str:
@@ -64,24 +67,56 @@ class Automaton:
 
     def __init__(self, moves: list[dict[str, tuple[int, float]]], ends: list[float], literal: list[dict[str, dict[str, float]]], unseen: list[float], loops: set[int]):
         self.moves, self.ends, self.literal, self.unseen, self.loops = moves, ends, literal, unseen, loops
+        self.steps: dict[tuple[int, str], tuple[int, float]] = {}
+        self.most = self._most()
+
+    def step(self, state: int, c: str) -> tuple[int, float]:
+        """The next state, and what the character adds to the score."""
+        if (known := self.steps.get((state, c))) is None:
+            s = symbol(c)
+            to, p = self.moves[state].get(s, (state, self.unseen[state]))
+            if to == state and state in self.loops and s in self.moves[state]:
+                known = to, 0.0  # how long a loop goes on is no evidence, else any long run would be a secret
+            else:
+                letters = self.literal[state].get(s)
+                # Within a class: how this state's fixed characters (prefixes) favour one letter; else uniform.
+                inside = letters.get(c, SMOOTH) * _SIZE.get(s, 1) if letters else 1.0
+                known = to, math.log(p * inside) - math.log(BACKGROUND.get(s, _OTHER))
+            self.steps[state, c] = known
+        return known
+
+    def _most(self) -> list[float]:
+        """The most that can be added from each state to the end. States only lead to later ones or to themselves."""
+        most = [0.0] * len(self.moves)
+        for state in reversed(range(len(self.moves))):
+            steps = [self.step(state, c) for c in _CHARACTERS]
+            most[state] = max(math.log(self.ends[state]), *(gain + most[to] for to, gain in steps if to != state), -math.inf)
+            if any(to == state and gain > 0 for to, gain in steps):
+                most[state] = math.inf
+        return most
+
+    def spans(self, value: str, start: int, ends: set[int], least: float) -> Iterator[tuple[int, float]]:
+        """(end, score) of the spans from ``start`` that score ``least`` or more."""
+        state, total = 0, 0.0
+        for at in range(start, len(value)):
+            state, gain = self.step(state, value[at])
+            total += gain
+            if total + self.most[state] < least:
+                return
+            if at + 1 in ends and total + math.log(self.ends[state]) >= least:
+                yield at + 1, total + math.log(self.ends[state])
 
     def score(self, value: str) -> float:
         """Log likelihood ratio of the whole value against ordinary characters."""
         state, total = 0, 0.0
         for c in value:
-            s = symbol(c)
-            to, p = self.moves[state].get(s, (state, self.unseen[state]))
-            if to == state and state in self.loops and s in self.moves[state]:
-                continue  # how long a loop goes on is no evidence, else any long run would be a secret
-            letters = self.literal[state].get(s)
-            # Within a class: how this state's fixed characters (prefixes) favour one letter; else uniform.
-            inside = letters.get(c, SMOOTH) * _SIZE.get(s, 1) if letters else 1.0
-            total += math.log(p * inside) - math.log(BACKGROUND.get(s, _OTHER))
-            state = to
+            state, gain = self.step(state, c)
+            total += gain
         return total + math.log(self.ends[state])
 
 
 _SIZE = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20}
+_CHARACTERS = [chr(c) for c in range(256) if _RUN[c]]
 
 
 def compatible(a: Counter, b: Counter, alpha: float = ALPHA) -> bool:
@@ -210,6 +245,7 @@ class Scanner:
             cut = max(1, len(values) * 2 // 3)
             automaton = infer(values[:cut])
             self.formats[name] = (automaton, min(automaton.score(v) for v in values[cut:] or values) - MARGIN)
+            automaton.steps.clear()  # made again where they are used
 
     def best(self, value: str) -> tuple[str, float] | None:
         top = None
@@ -219,16 +255,23 @@ class Scanner:
                 top = (name, score)
         return top
 
-    def scan(self, value: str) -> tuple[int, str, float] | None:
-        """(offset of the secret in the run, format, score). What stands before a sign of assignment isn't part of it."""
-        lead = _LEAD.match(value)
-        offsets = [0, lead.end()] if lead else [0]
-        found = [(self.best(value[o:].rstrip(".:=-") if value[o:].rstrip(".:=-") else value[o:]), o) for o in offsets if len(value) - o >= SHORTEST]
-        hits = [(hit[1], -o, hit[0]) for hit, o in found if hit]
-        if not hits:
-            return None
-        score, o, name = max(hits)
-        return -o, name, score
+    def scan(self, value: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, format, score) of the secrets of a run, in order; none overlap."""
+        cuts = [m.span() for m in _SEPARATOR.finditer(value)]
+        starts = sorted({0, *(p for a, b in cuts for p in range(a + 1, b + 1))})
+        bare = [0]  # the length of each prefix without the marks that it ends in
+        for at, c in enumerate(value):
+            bare.append(bare[-1] if c in _TRAIL else at + 1)
+        ends = {bare[p] for p in (*(p for a, b in cuts for p in range(a, b)), len(value))}
+        hits = []
+        for name, (automaton, least) in self.formats.items():
+            for start in starts:
+                hits += [(-score, start, -end, name) for end, score in automaton.spans(value, start, ends, max(least, 0.0)) if score > 0 and end - start >= SHORTEST]
+        taken: list[tuple[int, int, str, float]] = []
+        for score, start, end, name in sorted(hits, key=lambda h: (h[0], h[3], h[1], h[2])):
+            if all(-end <= a or b <= start for a, b, _, _ in taken):
+                taken.append((start, -end, name, -score))
+        return sorted(taken)
 
 
 def _candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,9 +291,8 @@ def _found(scanner: Scanner, column: pa.Array) -> Iterator[tuple[int, int, int,
     for i, _, data, offsets in K.texts(column):
         for r, s, e in zip(*(x.tolist() for x in _candidates(data, offsets))):
             value = data[s:e].tobytes().decode()
-            if hit := scanner.scan(value):
-                o, name, score = hit
-                yield i + r, s + o - int(offsets[r]), len(value[o:].rstrip(".:=-")), name, score
+            for start, end, name, score in scanner.scan(value):
+                yield i + r, s + start - int(offsets[r]), end - start, name, score
 
 
 def secrets(docs: DataFrame, examples: list[tuple[str, str]] | None = None) -> DataFrame:

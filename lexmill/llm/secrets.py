@@ -1,16 +1,18 @@
 """Secret scans by grammar inference: probabilistic automata learnt from labelled credentials.
 
-Labelled credentials (format, value) fill one prefix tree per format over character classes. Level by level,
-states whose distributions of next symbol and of ending are statistically compatible (Hoeffding's bound, on
-them and on what follows) merge, and states seen too rarely join the level's most frequent compatible state, so that
-the result is a small probabilistic automaton that keeps lengths and fixed marks. Marks that all examples of a format hold
-equally often cut a value into fields; where a field's length varies, a loop reads what goes on beyond the shortest example,
-with the probabilities of staying and of leaving that the examples give, so that longer fields than any example's are read too. Every maximal run of at least ``SHORTEST``
-credential characters with a digit in it is read from its start and from behind each separator (``/``, ``:``, ``=``), and ends
-before each separator or with the run; each such span of ``SHORTEST`` characters or more is a candidate and is scored by
-each automaton, as log likelihood against a model of ordinary characters. It is a secret of the most likely format if
-that passes the format's threshold, the least score of held-out labelled examples less a margin; of secrets that overlap the
-likeliest counts. Reading stops where no continuation can pass any more, so that the work grows with a run's length.
+Labelled credentials (format, value) fill one prefix tree per format over character classes. Level by level, states
+whose distributions of next symbol and of ending are statistically compatible (Hoeffding's bound, on them and on what
+follows) merge, and states seen too rarely join the level's most frequent compatible state, so that the result is a
+small probabilistic automaton that keeps lengths and fixed marks. Marks that all examples of a format hold equally often
+cut a value into fields; where a field's length varies, a loop reads what goes on beyond the shortest example, with the
+probabilities of staying and of leaving that the examples give, so that longer fields than any example's are read too.
+Every maximal run of at least ``SHORTEST`` credential characters is read from its start and from behind each separator
+(``/``, ``:``, ``=``), and ends before each separator or with the run, with and without the marks ``.:=-`` there; each
+such span of ``SHORTEST`` characters or more is a candidate and is scored by each automaton, as log likelihood against a
+model of ordinary characters. It is a secret of the most likely format if that passes the format's threshold, the least
+score of held-out labelled examples less a margin; a run without a digit may only hold formats whose first character was
+learnt, as words in capitals look like keys that have no mark of their own; of secrets that overlap the likeliest
+counts. Reading stops where no continuation can pass any more, so that the work grows with a run's length.
 
 Results (doc_id, start, length, format, score), one row per secret; ``start`` counts characters from 0. The value isn't
 repeated in the result. ``redacted`` returns the texts with each secret replaced by ``<SECRET>``.
@@ -43,7 +45,6 @@ FEW = 3
 END = "$"
 
 _RUN = np.array([chr(c).isascii() and (chr(c).isalnum() or chr(c) in "_+/=.:-") for c in range(256)])
-_DIGIT = np.array([48 <= c <= 57 for c in range(256)])
 _SEPARATOR = re.compile(r"[/:=]+")
 _TRAIL = ".:=-"
 
@@ -259,12 +260,15 @@ class Scanner:
         """(start, end, format, score) of the secrets of a run, in order; none overlap."""
         cuts = [m.span() for m in _SEPARATOR.finditer(value)]
         starts = sorted({0, *(p for a, b in cuts for p in range(a + 1, b + 1))})
-        bare = [0]  # the length of each prefix without the marks that it ends in
-        for at, c in enumerate(value):
-            bare.append(bare[-1] if c in _TRAIL else at + 1)
-        ends = {bare[p] for p in (*(p for a, b in cuts for p in range(a, b)), len(value))}
+        ends = {len(value), *(p for a, b in cuts for p in range(a, b))}
+        for at in range(len(value) - 1, 0, -1):  # with and without each of the marks before an end
+            if at + 1 in ends and value[at] in _TRAIL:
+                ends.add(at)
         hits = []
+        digits = any(c.isdigit() for c in value)
         for name, (automaton, least) in self.formats.items():
+            if not digits and not automaton.literal[0]:
+                continue
             for start in starts:
                 hits += [(-score, start, -end, name) for end, score in automaton.spans(value, start, ends, max(least, 0.0)) if score > 0 and end - start >= SHORTEST]
         taken: list[tuple[int, int, str, float]] = []
@@ -280,10 +284,8 @@ def _candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     long = np.flatnonzero(runs.end - runs.start >= SHORTEST)
     if not len(long):
         return long, long, long
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     start, end = runs.start[long], runs.end[long]
-    keep = digits[end] > digits[start]
-    return np.searchsorted(offsets, start[keep], "right") - 1, start[keep], end[keep]
+    return np.searchsorted(offsets, start, "right") - 1, start, end
 
 
 def _found(scanner: Scanner, column: pa.Array) -> Iterator[tuple[int, int, int, str, float]]:

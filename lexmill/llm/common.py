@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,10 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. One is made only where the session names none, as in tests."""
+    """The folder that all executors share. One is made only where the session names none and driver and executors are one
+    process, as in tests; a cluster has to name one."""
     sc = spark.sparkContext
     have = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not have:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         have = tempfile.mkdtemp(prefix="lexmill-")
         sc.setCheckpointDir(have)
     return have
@@ -74,57 +78,6 @@ def pair_blocks(bounds: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.nd
         at = to
 
 
-#: Rows of one name that meet in a block; names with more are cut into parts, and each two parts meet.
-BLOCK = 384
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes with more than one content: their documents (of copies the least id) and the least of them."""
-    for group in whole_groups(batches, "node"):
-        node, k1, ids = (longs(group, c) for c in ("node", "k1", "doc_id"))
-        fresh = np.ones(len(node), bool)
-        fresh[1:] = (node[1:] != node[:-1]) | (k1[1:] != k1[:-1])
-        node, ids = node[fresh], ids[fresh]
-        bounds = runs(node)
-        size = np.diff(bounds)
-        least = np.repeat(np.minimum.reduceat(ids, bounds[:-1]), size)
-        more = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.array(ids[more]), pa.array(least[more])], ["node", "doc_id", "least"])
-
-
-def meetings(nodes: DataFrame) -> DataFrame:
-    """From (node, k1, doc_id), where documents that share a node are to meet: doc_id and its names, each with the number of
-    parts that the name has; only documents that share a node. The name of a node is the least document near it, so that
-    what is shuffled grows with documents and not with pairs. Documents of the same content key k1 are one."""
-    sorted_nodes = nodes.repartition("node").sortWithinPartitions("node", "k1", "doc_id")
-    rows = written(sorted_nodes.mapInArrow(_shared, "node long, doc_id long, least long"), "nodes")
-    label = rows.groupBy("doc_id").agg(F.min("least").alias("label"))
-    name = rows.join(label, "doc_id").groupBy("node").agg(F.min("label").alias("name"))
-    placed = rows.select("node", "doc_id").join(name, "node").select("doc_id", "name").distinct()
-    parts = placed.groupBy("name").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    return placed.join(parts, "name").groupBy("doc_id").agg(F.collect_list(F.struct("name", "parts")).alias("names"))
-
-
-def blocks(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, names, ...) brought together by name, sorted by block (``grp``); ``block_pairs`` reads them."""
-    own = [c for c in rows.columns if c not in ("doc_id", "names")]
-    out = rows.select("doc_id", *own, F.col("names.name").alias("all"), F.explode("names").alias("n"))
-    out = out.select("doc_id", *own, "all", "n.name", "n.parts", F.pmod(F.xxhash64("doc_id"), F.col("n.parts")).alias("part"))
-    out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    out = out.withColumns({"low": F.least("part", "other").cast("long"), "high": F.greatest("part", "other").cast("long"), "part": F.col("part").cast("long")})
-    out = out.select(F.xxhash64("name", "low", "high").alias("grp"), "doc_id", "name", "part", "low", "high", "all", *own)
-    return out.repartition("grp").sortWithinPartitions("grp", "doc_id")
-
-
-def block_pairs(group: pa.Table, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of whole blocks that are to be looked at; pairs within a part meet in that part's own block only."""
-    part, low, high, grp = (longs(group, c) for c in ("part", "low", "high", "grp"))
-    inside = np.where(low == high, -1, part)
-    for i, j in pair_blocks(runs(grp), most):
-        new = (inside[i] != inside[j]) | (inside[i] == -1)
-        yield i[new], j[new]
-
-
 def longs(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     return batch.column(name).to_numpy() if isinstance(batch, pa.Table) else batch.column(name).to_numpy(zero_copy_only=False)
 
@@ -142,15 +95,15 @@ def ragged(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def once_per_id(df: DataFrame, order: list[str], id_col: str = "doc_id") -> DataFrame:
-    """df with one row for each id: the least by ``order``. Ids alone are shuffled unless some repeat."""
-    repeated = df.groupBy(id_col).count().filter("count > 1").select(id_col)
+def one_row_per_id(df: DataFrame, order: str, id_col: str = "doc_id") -> DataFrame:
+    """df with one row for each id: the least by ``order``, then by the row's JSON. Only rows of ids that repeat are shuffled, and they are
+    aggregated before that, so an id that many rows have isn't gathered anywhere. Rows without an id stay as they are."""
+    repeated = written(df.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col), "repeated")
     if repeated.isEmpty():
         return df
-    least = df.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(*order)).alias("_least"))
-    kept = df.join(least, id_col, "left")
-    same = F.col("_least").isNull() | (F.struct(*order) == F.col("_least"))
-    return kept.filter(same).drop("_least").dropDuplicates([id_col])
+    row = F.struct(*df.columns)
+    least = by_ids(df, repeated, True, id_col).groupBy(id_col).agg(F.min_by(row, F.struct(order, F.to_json(row))).alias("_row")).select("_row.*")
+    return by_ids(df, repeated, False, id_col).union(least.select(*df.columns))
 
 
 def two_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,12 +111,37 @@ def two_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
 
 
-#: Up to so many ids (8 bytes each) are broadcast; beyond, the other side is shuffled to meet them.
-BROADCAST_IDS = 1_000_000
-
-
-def by_ids(docs: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
-    """The documents whose doc_id is (or isn't) among ``ids``. A null id is never among them."""
-    ids = written(ids.select("doc_id").distinct(), "ids")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, "doc_id", "left_semi" if keep else "left_anti").select(*docs.columns)
+#: Bits of the filter of ``might``: 16 for an id, and never more than these (32 MB), whatever the number of ids.
+MOST_BITS = 1 << 28
+_BUCKET = 1 << 15  # bits in one value of bitmap_construct_agg
+
+
+def might(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with a column ``_might``: false where the id isn't among ``ids`` for sure. The filter is a bitmap of hashed ids, broadcast, of
+    bounded size: more ids make it pass more rows that an exact join then has to tell, but never drop one."""
+    bits = _BUCKET
+    n = ids.count()
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    place = F.pmod(F.xxhash64(F.lit(71), F.col(id_col).cast("long")), F.lit(bits))
+    marks = ids.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / _BUCKET).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_p") % _BUCKET).alias("_bitmap"))
+    at = F.when(F.col(id_col).isNotNull(), place)
+    rows = docs.withColumn("_at", at).join(F.broadcast(marks), F.floor(F.col("_at") / _BUCKET) == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_at % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
+    return rows.select(*docs.columns, bit.alias("_might"))
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, keep: bool, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose id is (or isn't) among ``ids``, which has no id twice. A null id is never among them. One way at every size: what the
+    bitmap settles isn't shuffled, the rest meets the ids in a join."""
+    marked = might(docs, ids, id_col)
+    unclear = marked.filter("_might").drop("_might")
+    if keep:
+        return unclear.join(ids, id_col, "left_semi").select(*docs.columns)
+    return marked.filter("NOT _might").drop("_might").union(unclear.join(ids, id_col, "left_anti").select(*docs.columns))
+
+
+def partitions(df: DataFrame) -> int:
+    """Number of partitions for a stage that is bound by CPU: given as a number, so that adaptive execution doesn't join them by bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,17 +1,19 @@
-"""Connected groups of a similarity join, and one document of each."""
+"""Connected groups of a similarity join."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import by_ids, written
+from lexmill.llm.common import written
 
 
-def labels(pairs: DataFrame) -> DataFrame:
-    """(doc_id, label): the least id of the document's group, by alternating the least neighbour's label with
-    the label's own label, so that chains shorten by half; each round is written to the shared folder."""
-    ends = written(pairs.select(F.col("doc_id_a").alias("x"), F.col("doc_id_b").alias("y")).union(pairs.select("doc_id_b", "doc_id_a")), "edges")
+def labels(edges: DataFrame) -> DataFrame:
+    """(doc_id, label) of all ids of the edges (doc_id, root): the least id of an id's group, by alternating the least neighbour's label
+    with the label's own label, so that chains shorten by half; each round is written to the shared folder. Edges
+    from an id to itself do no harm; without edges there are no rows."""
+    ends = edges.toDF("x", "y").filter("x <> y").distinct()
+    ends = written(ends.union(ends.select("y", "x")).distinct(), "edges")
     now = written(ends.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("label")), "labels")
     while True:
         near = ends.join(now.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("label").alias("near"))
@@ -21,16 +23,3 @@ def labels(pairs: DataFrame) -> DataFrame:
         if new.filter("label <> was").isEmpty():
             return new.select(F.col("x").alias("doc_id"), "label")
         now = new.select("x", "label")
-
-
-def one_of_each(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The documents less those that are in a group and aren't its least id; of rows that repeat an id one stays. Rows
-    without an id can't be in a group and stay."""
-    pairs = written(pairs.select("doc_id_a", "doc_id_b"), "pairs")
-    if not pairs.isEmpty():
-        docs = by_ids(docs, labels(pairs).filter("doc_id <> label").select("doc_id"), keep=False)
-    repeated = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return docs
-    again = by_ids(docs, repeated, keep=True).dropDuplicates(["doc_id"])
-    return by_ids(docs, repeated, keep=False).union(again)

@@ -8,14 +8,14 @@ its hash), so that ``sig`` covers the whole text in at most 64 characters; ``sig
 Two fingerprints are compared where block sizes agree: sig with sig and sig2 with sig2 at equal block sizes, sig2 of the
 smaller with sig of the larger at twice. They match if signatures compared share a run of seven characters and
 ``100 * (1 - edit distance / longer length)``, rounded down, the best of what is compared, is at least ``SCORE``. Runs of seven are the index: all that share
-one meet in blocks (see ``common.meetings``), so that no match is missed.
+one meet in blocks (see ``similar``), so that no match is missed.
 
-Results (doc_id, block_size, sig, sig2, matches), one row for each document; matches is a list of (doc_id, score), ordered by id, of
-documents with lesser ids, so that each pair stands once. Documents of equal fingerprints are one member of the comparison,
-represented by their least id: each of the others has a match of score 100 with it, and the rest are between representatives.
+Results (doc_id, block_size, sig, sig2, class_id, n_copies, n_links), one row for each document: its fingerprint, the least id of those
+that matches connect it with (its own, if none does), how many other documents have the same fingerprint, and how many other
+fingerprints match it. Documents of one fingerprint are one member of the comparison, by their least id, and all have its matches.
 
-Defined cases: null text counts as empty; signatures of fewer than seven characters (short texts) match nothing; rows with a null
-id are left out; of rows that repeat an id the least fingerprint counts; other columns are ignored; an empty table gives no rows.
+Defined cases: null text counts as empty; signatures of fewer than seven characters (short texts) match nothing and have no copies; rows with a null
+id are left out; of rows that repeat an id the least text counts; other columns are ignored; an empty table gives no rows.
 Texts are read whole, at any length.
 """
 
@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import kernel as K
-from lexmill.llm.common import block_pairs, blocks, longs, meetings, once_per_id, two_columns, whole_groups, written
+from lexmill.llm import similar
+from lexmill.llm.common import longs, one_row_per_id, two_columns, written
 
 WINDOW, LONGEST, RUN, SCORE = 7, 64, 7, 60
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 LEVELS = 48
 FINGERPRINT = "doc_id long, k int, sig string, sig2 string"
-BROADCAST_IDS = 1_000_000
 
 
 def boundaries(data: np.ndarray, offsets: np.ndarray, ranges: K.Ranges) -> tuple[np.ndarray, np.ndarray]:
@@ -167,54 +167,44 @@ def _share(x: str, y: str) -> bool:
     return any(y[i : i + RUN] in have for i in range(len(y) - RUN + 1))
 
 
-def _compare(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "grp"):
-            ids, own = longs(group, "doc_id"), longs(group, "name")
-            k = longs(group, "k").astype(np.int64)
-            names = [set(n) for n in group.column("all").to_pylist()]
-            sig = [group.column(c).to_pylist() for c in ("sig", "sig2")]
-            coded = [Coded(s) for s in sig]
-            best: dict[tuple[int, int], int] = {}
-            for i, j in block_pairs(group, 1 << 15):
-                for p, q, up in ((0, 0, 0), (1, 1, 0), (0, 1, 1), (1, 0, -1)):  # k of i is that of j plus up
-                    like = (k[i] == k[j] + up) & (ids[i] != ids[j])
-                    n, m = coded[p].size[i], coded[q].size[j]
-                    longer = np.maximum(n, m)
-                    like &= (np.minimum(n, m) >= RUN) & (100 * np.minimum(n, m) >= least * longer)
-                    x, y, longer = i[like], j[like], longer[like]
-                    able = 100 * (longer - least_distances(coded[p], x, coded[q], y)) >= least * longer
-                    x, y, longer = x[able], y[able], longer[able]
-                    if not len(x):
-                        continue
-                    score = 100 * (longer - distances(coded[p], x, coded[q], y)) // longer
-                    for s, t, points in zip(*(c[score >= least].tolist() for c in (x, y, score))):
-                        if own[s] == min(names[s] & names[t]) and _share(sig[p][s], sig[q][t]):
-                            pair = (int(min(ids[s], ids[t])), int(max(ids[s], ids[t])))
-                            best[pair] = max(best.get(pair, 0), points)
-            cols = list(zip(*((a, b, v) for (a, b), v in best.items()))) if best else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["a", "b", "score"])
-
-    return run
-
-
-def matches(prints: DataFrame, least: int = SCORE) -> DataFrame:
-    """(a, b, score) of all fingerprints that match, a < b, each pair once; equal ones as told above."""
-    able = prints.filter(F.length("sig") >= RUN)
-    group = written(able.groupBy("k", "sig", "sig2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size")), "prints")
-    copies = able.join(group.filter("size > 1").withColumnRenamed("doc_id", "a"), ["k", "sig", "sig2"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"), F.lit(100).alias("score"))
-    near = written(meetings(index(group)), "near")
-    chosen = group.join(F.broadcast(near) if near.count() <= BROADCAST_IDS else near, "doc_id")
-    return copies.union(blocks(chosen.select("doc_id", "names", "k", "sig", "sig2")).mapInArrow(_compare(least), "a long, b long, score int"))
+def _compare(least: int) -> similar.Compare:
+    def prepare(group: pa.Table):
+        k = longs(group, "k").astype(np.int64)
+        sig = [group.column(c).to_pylist() for c in ("sig", "sig2")]
+        coded = [Coded(s) for s in sig]
+
+        def reach(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Which pairs match, in any of the comparisons."""
+            match = np.zeros(len(i), bool)
+            for p, q, up in ((0, 0, 0), (1, 1, 0), (0, 1, 1), (1, 0, -1)):  # k of i is that of j plus up
+                n, m = coded[p].size[i], coded[q].size[j]
+                longer = np.maximum(n, m)
+                able = np.flatnonzero(~match & (k[i] == k[j] + up) & (np.minimum(n, m) >= RUN) & (100 * np.minimum(n, m) >= least * longer))
+                able = able[100 * (longer[able] - least_distances(coded[p], i[able], coded[q], j[able])) >= least * longer[able]]
+                if len(able):
+                    x, y = i[able], j[able]
+                    score = 100 * (longer[able] - distances(coded[p], x, coded[q], y)) // longer[able]
+                    for at in able[score >= least].tolist():
+                        match[at] = _share(sig[p][i[at]], sig[q][j[at]])
+            return match
+
+        def linked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            match = np.concatenate([reach(i[at : at + (1 << 15)], j[at : at + (1 << 15)]) for at in range(0, max(len(i), 1), 1 << 15)])
+            return i[match], j[match]
+
+        return linked
+
+    return prepare
 
 
 def document_fingerprints(docs: DataFrame, least: int = SCORE) -> DataFrame:
     """See the module's docstring."""
-    prints = written(fingerprints(two_columns(docs)), "fingerprints")
-    unique = once_per_id(prints, ["k", "sig", "sig2"])
-    prints = prints if unique is prints else written(unique, "fingerprints")
-    entry = F.struct(F.col("a").alias("doc_id"), "score")
-    found = matches(prints, least).groupBy(F.col("b").alias("doc_id")).agg(F.array_sort(F.collect_list(entry)).alias("matches"))
+    prints = written(fingerprints(one_row_per_id(two_columns(docs), "text")), "fingerprints")
+    keyed = prints.withColumns({"k1": F.xxhash64("k", "sig", "sig2"), "k2": F.xxhash64(F.lit(67), "sig2", "sig", "k")}).filter(F.length("sig") >= RUN)
+    single = written(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("k").alias("k"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2")), "prints")
+    payload = lambda ids: single.join(ids, "doc_id", "left_semi").select("doc_id", F.lit(1).cast("long").alias("weight"), "k", "sig", "sig2")
+    found = similar.classes(keyed, similar.links(index(single), payload, _compare(least)))
+    zero = F.lit(0).cast("long")
     out = prints.join(found, "doc_id", "left")
-    none = F.array().cast("array<struct<doc_id:bigint,score:int>>")
-    return out.select("doc_id", F.expr("shiftleft(3L, k)").alias("block_size"), "sig", "sig2", F.coalesce("matches", none).alias("matches"))
+    counts = [F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", zero).alias("n_copies"), F.coalesce("n_links", zero).alias("n_links")]
+    return out.select("doc_id", F.expr("shiftleft(3L, k)").alias("block_size"), "sig", "sig2", *counts)

@@ -1,22 +1,21 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 Every document is a query and a target. Its MinHash signature is cut into ``TREES`` labels of ``DEEPEST``
-values; each tree is a prefix trie, held as rows sorted by node. Documents that share a node at depth ``SHALLOWEST`` in
-any tree are brought together in blocks: a node takes the least document near it as its name, and a document goes to
-the names of its nodes, so that what is shuffled grows with documents and not with pairs. In a block, pairs
-are verified exactly, those with the longest common prefix first; after each depth the recall of the block is estimated
-from the pairs found (each counts 1 / its probability of having been met at that depth, and one unseen pair at the
-threshold is assumed), and the prefixes are shortened by one until it reaches ``TARGET``, at the latest at ``SHALLOWEST``, where
+values; each tree is a prefix trie, held as rows sorted by node. Documents that share a prefix of ``SHALLOWEST`` values in
+any tree come into one block or more (see ``similar``), which holds the tries' deeper levels. There prefixes are
+shortened step by step, from ``DEEPEST`` on: all pairs that agree in so long a prefix are verified exactly; then each document's
+recall is estimated from the links it has (each counts 1 / its probability of having been met at that depth, and one unseen link at the
+threshold is assumed), and documents that reach ``TARGET`` ask no further, though others may still ask for them. At ``SHALLOWEST``
 even a pair at the threshold is met with probability 0.995.
 
-Results (doc_id_a, doc_id_b, jaccard): ``doc_id_a < doc_id_b``, similarity at least ``threshold``, rounded to six
-places. Documents with the same words in the same order are one member of the join, represented by their
-least id: each copy has one row with that representative (jaccard 1), and other pairs are between
-representatives. So the rows of a join with thousands of copies stay few, and all its pairs follow from them.
+Results (doc_id, class_id, n_copies, n_links), one row for each document: the least id of those that links connect it with
+(its own, if none does), how many other documents have the same words in the same order, and with how many other
+texts, copies counted once, its similarity is at least ``threshold``. Copies are one member of the join, by their least id,
+and all have its links.
 
-Defined cases: null text counts as empty; texts without words match nothing; texts of fewer than ``N`` words are
-one gram, all of their words; rows with a null id are left out; rows that repeat an id count once (the least
-content key); other columns are ignored; an empty table gives no rows. Texts are read whole, at any length.
+Defined cases: null text counts as empty; texts without words are alone in their class and have no copies; texts of fewer than ``N`` words are
+one gram, all of their words; rows with a null id are left out; of rows that repeat an id the one of the least text
+counts; other columns are ignored; an empty table gives no rows. Texts are read whole, at any length.
 """
 
 from __future__ import annotations
@@ -29,18 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import kernel as K
-from lexmill.llm.common import binaries, block_pairs, blocks, longs, meetings, once_per_id, ragged, two_columns, whole_groups, written
-
-PAIRS = "a long, b long, jaccard double"
+from lexmill.llm import similar
+from lexmill.llm.common import binaries, by_ids, longs, might, one_row_per_id, ragged, two_columns, written
 
 N, THRESHOLD = 3, 0.5
 TREES, DEEPEST, SHALLOWEST, TARGET = 40, 5, 3, 0.995
-#: Up to so many candidate documents their ids are broadcast (8 bytes each); beyond, texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 BASE = "doc_id long, k1 long, k2 long, sig binary"
 
-
 def _grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     small = K.lower(data)
     tokens = K.Tokens(small, offsets, K.ALNUM)
@@ -93,104 +88,134 @@ def _trie(base: DataFrame) -> DataFrame:
 
 
 def gram_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, its names and the sorted distinct hashes of its n-grams."""
+    """doc_id, weight and the sorted distinct hashes of the n-grams of documents that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = longs(batch, "doc_id")
             for i, j, data, offsets in K.texts(batch.column("text")):
                 grams, begin, _, _ = _grams(data, offsets, n)
-                sets = [np.unique(grams[a:b]) for a, b in zip(begin[:-1], begin[1:])]
-                bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), batch.column("names").slice(i, j - i), ragged(np.concatenate(sets), bounds)], ["doc_id", "names", "grams"])
-
-    return docs.select("doc_id", "text", "names").mapInArrow(run, "doc_id long, names array<struct<name: long, parts: int>>, grams binary")
-
-
-def _similarity(x: np.ndarray, y: np.ndarray, threshold: float) -> float:
-    """Exact Jaccard similarity of two sorted sets; 0 where their sizes rule the threshold out."""
-    if len(x) > len(y):
-        x, y = y, x
-    if len(x) < threshold * len(y):
-        return 0.0
-    at = np.searchsorted(y, x)
-    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return common / (len(x) + len(y) - common)
-
-
-def _verify(threshold: float, target: float):
+                have = np.flatnonzero(np.diff(begin))
+                if len(have):
+                    sets = [np.unique(grams[begin[r] : begin[r + 1]]) for r in have]
+                    size = np.array([len(s) for s in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][have]), pa.array(size), ragged(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))], ["doc_id", "weight", "grams"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, weight long, grams binary")
+
+
+class Sets:
+    """Sets of a group's rows, their elements numbered, so that common elements are counted by looking up marks."""
+
+    def __init__(self, binary: list[bytes]):
+        self.values = np.concatenate([np.frombuffer(b, np.uint64) for b in binary])
+        self.size = np.array([len(b) // 8 for b in binary], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+        known, number = np.unique(self.values, return_inverse=True)
+        self.number = number.astype(np.int32)
+        self.mark = np.zeros(len(known), np.int8)
+
+    def jaccard(self, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+        """Exact similarity of rows x to rows y, x in order; 0 where their sizes rule the threshold out."""
+        n, m = self.size[x], self.size[y]
+        able = np.flatnonzero(np.minimum(n, m) >= threshold * np.maximum(n, m))
+        common = np.zeros(len(x), np.int64)
+        bounds = np.concatenate([np.flatnonzero(np.diff(x[able], prepend=-1)), [len(able)]])
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own = self.number[self.begin[x[able[lo]]] : self.begin[x[able[lo]] + 1]]
+            self.mark[own] = 1
+            at = lo
+            while at < hi:  # about a million elements at a time
+                to = max(at + 1, min(hi, at + (1 << 20) // max(1, int(self.size[y[able[at:hi]]].max()))))
+                other = y[able[at:to]]
+                size = self.size[other]
+                first = np.cumsum(size) - size
+                place = np.repeat(self.begin[other] - first, size) + np.arange(int(size.sum()))
+                common[able[at:to]] = np.add.reduceat(self.mark[self.number[place]], first, dtype=np.int64)
+                at = to
+            self.mark[own] = 0
+        return common / (n + m - common)
+
+
+def chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
+    """Probability that two documents agree in a prefix of this length in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def _compare(threshold: float, target: float) -> similar.Compare:
     multipliers = K.odd_constants(TREES * DEEPEST, 23)
-    met = lambda s, d: 1 - (1 - s**d) ** TREES
-    unseen = {d: 1 / met(threshold, d) - 1 for d in range(SHALLOWEST, DEEPEST + 1)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "grp"):
-            ids, grp = longs(group, "doc_id"), longs(group, "grp")
-            names = [set(n) for n in group.column("all").to_pylist()]
-            own = longs(group, "name")
-            sets = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
-            begin = np.concatenate([[0], np.cumsum([len(g) for g in sets])])
-            sig = K.minhash(np.concatenate(sets), begin, multipliers)
-            levels = {d: _nodes(sig, d) for d in range(SHALLOWEST, DEEPEST + 1)}
-            out: list[tuple[int, int, float]] = []
-            found: dict[int, list[tuple[int, int, int]]] = {}
-            for i, j in block_pairs(group, 1 << 15):
-                depth = np.zeros(len(i), np.int64)
-                for d, nodes in levels.items():
-                    depth[(nodes[i] == nodes[j]).any(1)] = d
-                for x, y, d in zip(*(c[depth > 0].tolist() for c in (i, j, depth))):
-                    # Documents that share several names are a pair of the least only.
-                    if ids[x] != ids[y] and own[x] == min(names[x] & names[y]):
-                        found.setdefault(int(grp[x]), []).append((d, x, y))
-            for pairs in found.values():
-                hits, weight = 0, 0.0
-                for d in range(DEEPEST, SHALLOWEST - 1, -1):
-                    for _, x, y in (p for p in pairs if p[0] == d):
-                        score = _similarity(sets[x], sets[y], threshold)
-                        if score >= threshold:
-                            out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y])), score))
-                            hits += 1
-                    weight = sum(1 / met(s, d) for _, _, s in out[len(out) - hits :]) if hits else 0.0
-                    if hits and hits / (weight + unseen[d]) >= target:
-                        break
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "jaccard"])
-
-    return run
-
-
-def verified(near: DataFrame, docs: DataFrame, threshold: float, target: float, n: int = N) -> DataFrame:
-    """The pairs of each block whose exact similarity reaches the threshold; every pair comes from one block."""
-    near = written(near, "near")
-    chosen = docs.join(F.broadcast(near) if near.count() <= BROADCAST_IDS else near, "doc_id")
-    return blocks(gram_sets(chosen, n)).mapInArrow(_verify(threshold, target), PAIRS)
+    unseen = {d: 1 / chance(threshold, d) - 1 for d in range(SHALLOWEST, DEEPEST + 1)}
+
+    def prepare(group: pa.Table):
+        sets = Sets(group.column("grams").to_pylist())
+        sig = K.minhash(sets.values, sets.begin, multipliers)
+        levels = {d: (_nodes(sig, d) >> np.uint64(32)).astype(np.uint32) for d in range(SHALLOWEST, DEEPEST + 1)}
+
+        def depths(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            depth = np.zeros(len(i), np.int8)
+            for at in range(0, len(i), 1 << 14):
+                x, y, of = i[at : at + (1 << 14)], j[at : at + (1 << 14)], depth[at : at + (1 << 14)]
+                left = np.arange(len(x))
+                for d, nodes in levels.items():  # who differs at a depth differs deeper
+                    left = left[(nodes[x[left]] == nodes[y[left]]).any(1)]
+                    of[left] = d
+            return depth
+
+        def linked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            depth = depths(i, j)
+            settled = np.zeros(len(sets.size), bool)
+            links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for d in range(DEEPEST, SHALLOWEST - 1, -1):
+                ask = np.flatnonzero((depth == d) & ~(settled[i] & settled[j]))
+                score = sets.jaccard(i[ask], j[ask], threshold)
+                ask, score = ask[score >= threshold], score[score >= threshold]
+                links.append((i[ask], j[ask], score))
+                x, y, s = (np.concatenate(c) for c in zip(*links))
+                hits, expected = np.zeros(len(settled)), np.zeros(len(settled))
+                for end in (x, y):
+                    hits += np.bincount(end, minlength=len(settled))
+                    expected += np.bincount(end, 1 / chance(s, d), len(settled))
+                settled = hits >= target * (expected + unseen[d])
+            return x, y
+
+        return linked
+
+    return prepare
+
+
+def _alike(batch: pa.RecordBatch) -> np.ndarray:
+    """Similarity of each row's set to its leader's."""
+    out = np.zeros(batch.num_rows)
+    for r, (a, b) in enumerate(zip(batch.column("grams").to_pylist(), batch.column("of_grams").to_pylist())):
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        out[r] = common / (len(x) + len(y) - common)
+    return out
+
+
+def links(docs: DataFrame, base: DataFrame, threshold: float = THRESHOLD, n: int = N, target: float = TARGET) -> DataFrame:
+    """(doc_id, root, links) of documents and their signatures (see ``similar.links``)."""
+    payload = lambda ids: gram_sets(might(docs, ids).filter("_might"), n)
+    return similar.links(_trie(base), payload, _compare(threshold, target), _alike, (1 + threshold) / 2)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, target: float = TARGET) -> DataFrame:
     """See the module's docstring."""
-    docs = two_columns(docs)
-    base = written(signatures(docs, n), "signatures")
-    unique = once_per_id(base, ["k1", "k2"])
-    if unique is not base:
-        base = written(unique, "signatures")
-        docs = _same_content(docs, base, n)
-    group = base.groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).filter("size > 1")
-    copies = base.select("k1", "k2", F.col("doc_id").alias("b")).join(group, ["k1", "k2"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    result = copies.union(verified(meetings(_trie(base)), docs, threshold, target, n))
-    return result.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.round("jaccard", 6).alias("jaccard"))
-
+    return _joined(one_row_per_id(two_columns(docs), "text"), threshold, n, target)
 
-def _same_content(docs: DataFrame, base: DataFrame, n: int) -> DataFrame:
-    """Of documents whose id repeats, the row that ``base`` kept."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = longs(batch, "doc_id")
-            for i, j, data, offsets in K.texts(batch.column("text")):
-                _, _, words, first = _grams(data, offsets, n)
-                place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-                key = K.mix(K.sums(words * K.powers(np.uint64(0xD6E8FEB86659FD93), int(place.max(initial=0)))[place], first))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), batch.column("text").slice(i, j - i), pa.array(key.view(np.int64))], ["doc_id", "text", "k1"])
-
-    rows = docs.mapInArrow(keyed, "doc_id long, text string, k1 long").join(base.select("doc_id", "k1"), ["doc_id", "k1"], "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select("doc_id", "text")
+def _joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, target: float = TARGET) -> DataFrame:
+    """The join of (doc_id, text) without ids that are null or repeat."""
+    base = written(signatures(docs, n), "signatures")
+    found = similar.classes(base, links(docs, base, threshold, n, target))
+    zero = F.lit(0).cast("long")
+    out = docs.select("doc_id").join(found, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", zero).alias("n_copies"), F.coalesce("n_links", zero).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each class of documents the one with the least id, with all columns of ``docs``. Of rows that repeat an id the one that the join
+    looks at stays (the least text); rows without an id are in no class and stay."""
+    docs = one_row_per_id(docs, "text")
+    known = _joined(two_columns(docs))
+    return by_ids(docs, written(known.filter("doc_id <> class_id").select("doc_id"), "copies"), keep=False)

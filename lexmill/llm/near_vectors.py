@@ -4,15 +4,15 @@ Vectors are normalised, so that cosine c is Euclidean distance sqrt(2 - 2c). A t
 ``floor((a . v + b) / WIDTH)`` over several Gaussian projections a. How many there are follows from the
 number of vectors (so that vectors at right angles share a bucket with ``CHANCE`` others on average), and
 how many tables from that: a pair at the threshold is missed by all of them with probability at most ``MISS``. Vectors that share a
-bucket meet in blocks (see ``common.meetings``), where every pair's cosine is computed exactly.
+bucket meet in blocks (see ``similar``), where every pair's cosine is computed exactly.
 
-Results (vec_id_a, vec_id_b, cosine): ``vec_id_a < vec_id_b``, cosine at least the threshold, rounded to six places.
-Equal vectors are one member of the join, represented by their least id: each copy has one row with that
-representative (cosine 1), and other pairs are between representatives.
+Results (vec_id, class_id, n_copies, n_links), one row for each vector: the least id of those that links connect it with (its own, if
+none does), how many other vectors have the same direction, and with how many other directions its cosine is at least
+the threshold. Vectors of one direction are one member of the join, by their least id, and all have its links.
 
-Defined cases: null, empty and all-zero vectors, and those with a null, NaN or infinite entry, match nothing; vectors of
-different lengths don't match each other; rows with a null id are left out; of rows that repeat an id the one of the least content
-key counts; other columns are ignored; an empty table gives no rows.
+Defined cases: null, empty and all-zero vectors, and those with a null, NaN or infinite entry, are alone in their class and have no copies; vectors of
+different lengths don't match each other; rows with a null id are left out; of rows that repeat an id the least vector
+counts; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import kernel as K
-from lexmill.llm.common import block_pairs, blocks, longs, meetings, once_per_id, whole_groups, written
+from lexmill.llm import similar
+from lexmill.llm.common import longs, might, one_row_per_id, written
 
 THRESHOLD, MISS, CHANCE, WIDTH = 0.95, 0.02, 0.1, 1.8
-#: Up to so many candidate vectors their ids are broadcast; beyond, vectors are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -99,61 +98,56 @@ def _buckets(k: int, tables: int):
     return run
 
 
-def _check(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "grp"):
-            ids, own, k1 = (longs(group, c) for c in ("doc_id", "name", "k1"))
-            names = [set(n) for n in group.column("all").to_pylist()]
-            size = np.zeros(len(ids), np.int64)
-            for d, rows, _ in _units(group.column("v")):
-                size[rows] = d
-            unit = {d: (rows, v) for d, rows, v in _units(group.column("v"))}
-            place = np.zeros(len(ids), np.int64)
-            for rows, _ in unit.values():
-                place[rows] = np.arange(len(rows))
-            out: list[tuple[int, int, float]] = []
-            for i, j in block_pairs(group, 1 << 18):
-                like = (size[i] == size[j]) & (size[i] > 0) & (ids[i] != ids[j]) & (k1[i] != k1[j])
-                i, j = i[like], j[like]
-                for d, (_, v) in unit.items():
-                    of = size[i] == d
-                    x, y = i[of], j[of]
-                    cosine = np.einsum("ij,ij->i", v[place[x]], v[place[y]])
-                    near = np.flatnonzero(cosine >= threshold)
-                    for p, q, c in zip(x[near].tolist(), y[near].tolist(), cosine[near].tolist()):
-                        if own[p] == min(names[p] & names[q]):  # pairs that share several names count once
-                            out.append((int(min(ids[p], ids[q])), int(max(ids[p], ids[q])), min(c, 1.0)))
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "cosine"])
+def _rows(group: pa.Table | pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Length of each row's vector, its place among those of that length, and these, normalised."""
+    size, place, unit = np.zeros(group.num_rows, np.int64), np.zeros(group.num_rows, np.int64), {}
+    for d, rows, v in _units(group.column(column)):
+        size[rows], place[rows], unit[d] = d, np.arange(len(rows)), v
+    return size, place, unit
 
-    return run
+
+def _compare(threshold: float) -> similar.Compare:
+    def prepare(group: pa.Table):
+        size, place, unit = _rows(group, "v")
+
+        def linked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            near = np.zeros(len(i), bool)
+            for d, v in unit.items():
+                of = np.flatnonzero((size[i] == d) & (size[j] == d))
+                for at in range(0, len(of), 1 << 15):
+                    some = of[at : at + (1 << 15)]
+                    near[some] = np.einsum("ij,ij->i", v[place[i[some]]], v[place[j[some]]]) >= threshold
+            return i[near], j[near]
+
+        return linked
+
+    return prepare
+
+
+def _alike(batch: pa.RecordBatch) -> np.ndarray:
+    """Cosine of each row's vector to its leader's; -1 where their lengths differ."""
+    size, place, unit = _rows(batch, "v")
+    other, there, of = _rows(batch, "of_v")
+    out = np.full(batch.num_rows, -1.0)
+    for d in unit.keys() & of.keys():
+        rows = np.flatnonzero((size == d) & (other == d))
+        out[rows] = np.einsum("ij,ij->i", unit[d][place[rows]], of[d][there[rows]])
+    return out
 
 
 def near_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """See the module's docstring."""
-    vectors = table.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("doc_id IS NOT NULL AND v IS NOT NULL")
-    keys = written(_keys(vectors), "vector-keys")
-    base = once_per_id(keys, ["k1", "k2"])
-    if base is not keys:
-        base = written(base, "vector-keys")
-    group = base.groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.count("*").alias("size"))
-    group = written(group, "vector-groups")
-    copies = base.select("k1", "k2", F.col("doc_id").alias("b")).join(group.filter("size > 1"), ["k1", "k2"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("cosine"))
+    vectors = table.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("doc_id IS NOT NULL")
+    vectors = one_row_per_id(vectors, "v")
+    base = written(_keys(vectors), "vector-keys")
     # One vector for each content, by its least id: what the tables hold doesn't grow with copies.
-    first = group.select("k1", F.col("a").alias("doc_id"))
-    small = first.count() <= BROADCAST_IDS
-    single = vectors.join(F.broadcast(first) if small else first, "doc_id").select("doc_id", "k1", "v")
-    if base is not keys:
-        single = _same(single)
-    single = written(single, "vectors")
+    first = written(base.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "k1"), "firsts")
+    single = written(might(vectors, first).filter("_might").select("doc_id", "v").join(first, "doc_id").select("doc_id", "k1", "v"), "vectors")
     k, tables = plan(single.count(), threshold)
-    near = written(meetings(single.mapInArrow(_buckets(k, tables), "node long, k1 long, doc_id long")), "near")
-    chosen = single.join(F.broadcast(near) if near.count() <= BROADCAST_IDS else near, "doc_id")
-    pairs = blocks(chosen.select("doc_id", "names", "k1", "v")).mapInArrow(_check(threshold), "a long, b long, cosine double")
-    return copies.union(pairs).select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"), F.round("cosine", 6).alias("cosine"))
-
-
-def _same(single: DataFrame) -> DataFrame:
-    """Of vectors whose id repeats, the one whose content the keys kept."""
-    keyed = _keys(single.select("doc_id", "v")).select("doc_id", F.col("k1").alias("own")).distinct()
-    return single.join(keyed, "doc_id").filter("own = k1").dropDuplicates(["doc_id"]).select("doc_id", "k1", "v")
+    buckets = single.mapInArrow(_buckets(k, tables), "node long, k1 long, doc_id long")
+    payload = lambda ids: single.join(ids, "doc_id", "left_semi").select("doc_id", F.size("v").cast("long").alias("weight"), "v")
+    tight = math.cos(math.acos(threshold) / 2) + 1e-9  # rounding must not make a pair just below the threshold sure
+    found = similar.classes(base, similar.links(buckets, payload, _compare(threshold), _alike, tight))
+    zero = F.lit(0).cast("long")
+    out = vectors.select("doc_id").join(found, "doc_id", "left")
+    return out.select(F.col("doc_id").alias("vec_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", zero).alias("n_copies"), F.coalesce("n_links", zero).alias("n_links"))

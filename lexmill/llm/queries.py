@@ -73,14 +73,21 @@ N, THRESHOLD = jaccard_forest.N, jaccard_forest.THRESHOLD
 WEIGHT = " ".join(f"WHEN source = '{k}' THEN {v}" for k, v in sorted(mixing.WEIGHTS.items()))
 LOT = f"md5('{mixing.SEED}:' || shard || ':' || coalesce(source, '') || ':' || block)"
 RULES = ", ".join(f"({i}, '{url_rules.prefix(p)}', '{a}')" for i, p, a in url_rules.RULES)
+#: Classes of the pairs p (a, b).
+CLASSES = """     e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+     t(x, y) AS (SELECT DISTINCT a, a FROM e UNION SELECT t.x, e.b FROM t JOIN e ON e.a = t.y),
+     k AS (SELECT x, min(y) AS class_id FROM t GROUP BY x),
+     n AS (SELECT a, count(*) AS n FROM e GROUP BY a)"""
 SQL: dict[str, str] = {
     "op1_embedding_near_dedup": f"""
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, embedding FROM embeddings WHERE vec_id IS NOT NULL),
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, embedding FROM embeddings WHERE vec_id IS NOT NULL),
      r AS (SELECT min(vec_id) AS vec_id, any_value(e) AS e, list(vec_id) AS ids FROM v
-           WHERE list_sum(list_transform(e, lambda x: x * x)) > 0 GROUP BY embedding)
-SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine
-FROM r a JOIN r b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {near_vectors.THRESHOLD}
-UNION ALL SELECT vec_id, unnest(list_filter(ids, lambda i: i <> vec_id)), 1.0 FROM r WHERE len(ids) > 1""",
+           WHERE list_sum(list_transform(e, lambda x: x * x)) > 0 GROUP BY embedding),
+     p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM r a JOIN r b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {near_vectors.THRESHOLD}),
+{CLASSES}
+SELECT unnest(ids) AS vec_id, coalesce(class_id, r.vec_id) AS class_id, len(ids) - 1 AS n_copies, coalesce(n, 0) AS n_links
+FROM r LEFT JOIN k ON k.x = r.vec_id LEFT JOIN n ON n.a = r.vec_id
+UNION ALL SELECT vec_id, vec_id, 0, 0 FROM v WHERE coalesce(list_sum(list_transform(e, lambda x: x * x)), 0) = 0""",
     "op8_url_filters": f"""
 WITH r(rule_id, prefix, action) AS (VALUES {RULES}),
      h AS (SELECT row_number() OVER () AS n, page_id, url,
@@ -110,14 +117,16 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '\\S+'))
 SELECT b.doc_id, b.source, b.shard, b.block, b.n_tokens FROM b
 WHERE EXISTS (SELECT 1 FROM c WHERE c.shard = b.shard AND c.source IS NOT DISTINCT FROM b.source AND c.block = b.block)""",
     "op7_ngram_jaccard_join": f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents WHERE doc_id IS NOT NULL),
      r AS (SELECT min(doc_id) AS doc_id, array_to_string(w, ' ') AS t, any_value(w) AS w, list(doc_id) AS ids
            FROM w WHERE len(w) > 0 GROUP BY 2),
      g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {N} THEN [t]
              ELSE list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) END) AS g FROM r),
-     n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-     c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a AS doc_id_a, b AS doc_id_b, round(c / (x.n + y.n - c), 6) AS jaccard
-FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= {THRESHOLD}
-UNION ALL SELECT doc_id, unnest(list_filter(ids, lambda i: i <> doc_id)), 1.0 FROM r WHERE len(ids) > 1""",
+     s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+     c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+     p AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= {THRESHOLD}),
+{CLASSES}
+SELECT unnest(ids) AS doc_id, coalesce(class_id, r.doc_id) AS class_id, len(ids) - 1 AS n_copies, coalesce(n, 0) AS n_links
+FROM r LEFT JOIN k ON k.x = r.doc_id LEFT JOIN n ON n.a = r.doc_id
+UNION ALL SELECT doc_id, doc_id, 0, 0 FROM w WHERE len(w) = 0""",
 }

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexmill.llm import fingerprints, jaccard_forest, licenses, mixing, near_vectors, packing, quality, queries, secrets, toxicity
+from lexmill.llm import components, fingerprints, jaccard_forest, licenses, mixing, near_vectors, packing, quality, queries, secrets, similar, toxicity
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -34,13 +34,104 @@ def near_copies(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
 
 
-def test_jaccard_recall(near_copies):
-    df, texts = near_copies
+def classes_of(ids, links, content=lambda i: i):
+    """(class, copies, links) of every id by brute force: ``links`` are pairs of ids of different contents."""
+    of = {i: {content(i)} for i in ids}
+    root = {c: min(i for i in ids if content(i) == c) for c in {content(i) for i in ids}}
+    many = {c: sum(content(i) == c for i in ids) - 1 for c in root}
+    pairs = {frozenset((content(a), content(b))) for a, b in links}
+    label = dict(root)
+    for _ in ids:
+        before = dict(label)
+        for a, b in map(tuple, pairs):
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    return {i: (label[content(i)], many[content(i)], sum(content(i) in p for p in pairs)) for i in of}
+
+
+def rows_of(df, key="doc_id"):
+    return {r[key]: (r["class_id"], r["n_copies"], r["n_links"]) for r in df.collect()}
+
+
+def jaccard_pairs(texts, threshold=0.5):
     grams = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in texts.items()}
-    want = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.5 * len(grams[a] | grams[b])}
-    got = {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in jaccard_forest.jaccard_join(df).collect()}
-    assert set(got) <= want and len(got) >= 0.97 * len(want) > 100
-    assert all(abs(s - len(grams[a] & grams[b]) / len(grams[a] | grams[b])) < 1e-5 for (a, b), s in got.items())
+    return {(a, b) for a in grams for b in grams if a < b and texts[a] != texts[b] and len(grams[a] & grams[b]) >= threshold * len(grams[a] | grams[b])}
+
+
+def test_jaccard_classes_and_recall(near_copies):
+    df, texts = near_copies
+    want = classes_of(texts, jaccard_pairs(texts), texts.get)
+    got = rows_of(jaccard_forest.jaccard_join(df))
+    assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and got[i][2] <= want[i][2] and got[i][0] >= want[i][0] for i in want)
+    assert sum(r[2] for r in got.values()) >= 0.99 * sum(r[2] for r in want.values()) > 200
+    assert sum(got[i][0] == want[i][0] for i in want) >= 0.99 * len(want)
+
+
+def hot_groups():
+    """Two groups of near copies, one of them loose, beside other texts that share a passage with them."""
+    rng, rows = np.random.default_rng(8), {}
+    shared = [f"s{x}" for x in range(40)]
+    for group, changes in ((0, 3), (1, 25)):
+        base = [f"g{group}x{x}" for x in rng.integers(0, 900, 120)] + shared
+        for copy in range(120):
+            own = list(base)
+            for at in rng.integers(0, 120, int(rng.integers(0, changes + 1))):
+                own[at] = f"z{rng.integers(0, 99999)}"
+            rows[1000 * group + copy] = " ".join(own)
+    for other in range(60):
+        rows[5000 + other] = " ".join([f"o{x}" for x in rng.integers(0, 99999, int(rng.integers(5, 120)))] + shared)
+    return rows
+
+
+@pytest.mark.parametrize("part_rows", [1024, 16])
+def test_hot_groups_lose_no_link(spark, monkeypatch, part_rows):
+    """The same result whether members meet in one block, or in parts and by their leader's core."""
+    monkeypatch.setattr(similar, "PART_ROWS", part_rows)
+    texts = hot_groups()
+    got = rows_of(jaccard_forest.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    want = classes_of(texts, jaccard_pairs(texts), texts.get)
+    assert got.keys() == want.keys() and all(got[i][:2] == want[i][:2] for i in want)
+    assert 0.995 * sum(r[2] for r in want.values()) <= sum(r[2] for r in got.values()) and all(got[i][2] <= want[i][2] for i in want)
+
+
+def test_a_hot_name_shuffles_rows_in_proportion(spark):
+    """20,000 near copies under one name: those of the core go to the few others' parts only, whatever their number."""
+    n, outside = 20_000, 30
+    have = spark.range(n).selectExpr("id AS doc_id", "200L AS weight", "CAST('x' AS BINARY) AS grams")
+    placed = spark.range(n).selectExpr("id AS doc_id", "0L AS name")
+    cores = spark.range(n - outside).selectExpr("id AS doc_id", "0L AS core")
+    assert similar.blocks(placed, have, cores).count() <= n + 100 * outside
+    assert similar.blocks(placed, have, cores.union(spark.range(n - outside, n).selectExpr("id", "0L"))).count() == 0
+    pairs = spark.range(1000).selectExpr("id AS doc_id", "0L AS name")
+    assert similar.blocks(pairs, have, None).count() == 1000  # one part, one row each
+
+
+def test_parts_of_a_name_meet_once(spark, monkeypatch):
+    """Every two members meet in one block, but those of one core."""
+    monkeypatch.setattr(similar, "PART_ROWS", 7)
+    rows = similar.blocks(spark.range(60).selectExpr("id AS doc_id", "5L AS name"), spark.range(60).selectExpr("id AS doc_id", "1L AS weight"), spark.range(40).selectExpr("id AS doc_id", "5L AS core")).collect()
+    block, met = defaultdict(list), Counter()
+    for r in rows:
+        block[r["grp"]].append(r)
+    for group in block.values():
+        for a in group:
+            for b in group:
+                if a["doc_id"] < b["doc_id"] and (a["low"] == a["high"] or a["part"] != b["part"]):
+                    met[a["doc_id"], b["doc_id"]] += 1
+    assert set(met.values()) == {1} and set(met) == {(a, b) for a in range(60) for b in range(a + 1, 60) if b >= 40}
+
+
+def test_prefix_filter_keeps_all(spark):
+    from lexmill.llm.common import by_ids, might, one_row_per_id
+
+    docs = spark.createDataFrame([(i, f"t{i}", {"a": i}) for i in [*range(500), None, 7, 7]], "doc_id long, text string, other map<string,int>")
+    ids = spark.range(0, 500, 3).withColumnRenamed("id", "doc_id")
+    assert sorted(r[0] for r in by_ids(docs, ids, True).select("doc_id").collect()) == list(range(0, 500, 3))
+    assert by_ids(docs, ids, False).count() == 503 - 167 and by_ids(docs, ids, False).filter("doc_id IS NULL").count() == 1
+    assert might(docs, ids).filter("_might").count() < 260 and by_ids(docs, ids.limit(0), True).count() == 0
+    rows = one_row_per_id(docs.union(docs.limit(9).selectExpr("doc_id", "'s' AS text", "other")), "text").collect()
+    assert len(rows) == 501 and all(r["text"] == "s" for r in rows if r["doc_id"] is not None and r["doc_id"] < 7)
 
 
 def levenshtein(x: str, y: str) -> int:
@@ -96,25 +187,42 @@ def test_fingerprints_by_definition_and_all_matches(near_copies):
                     best = max(best, 100 * (max(len(x), len(y)) - levenshtein(x, y)) // max(len(x), len(y)))
         return best
 
-    least = {}
-    for i, r in sorted(rows.items()):
-        least.setdefault((r["block_size"], r["sig"], r["sig2"]), i)
-    want = {(a, b): s for a in least.values() for b in least.values() if a < b and (s := score(rows[a], rows[b])) >= fingerprints.SCORE}
-    want |= {(least[p], i): 100 for i, r in rows.items() if (p := (r["block_size"], r["sig"], r["sig2"])) and least[p] != i}
-    assert {(m["doc_id"], i): m["score"] for i, r in rows.items() for m in r["matches"]} == want and len(want) > 50
+    prints = {i: (r["block_size"], r["sig"], r["sig2"]) for i, r in rows.items()}
+    links = {(a, b) for a in rows for b in rows if a < b and prints[a] != prints[b] and score(rows[a], rows[b]) >= fingerprints.SCORE}
+    assert {i: (r["class_id"], r["n_copies"], r["n_links"]) for i, r in rows.items()} == classes_of(rows, links, prints.get) and len(links) > 50
 
 
-def test_vector_recall(spark):
+def test_vector_recall(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((300, 32))
     v = np.concatenate([base + s * rng.standard_normal(base.shape) for s in (0, 0, 0.1, 0.2, 0.3)])
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     cosine = v @ v.T
-    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(cosine >= 0.95, 1))) if a % 1500 not in range(300, 600) and b not in range(300, 600)} | {(i, 300 + i) for i in range(300)}
-    got = {(r["vec_id_a"], r["vec_id_b"]): r["cosine"] for r in near_vectors.near_vectors(df).collect()}
-    assert set(got) <= want and len(got) >= 0.95 * len(want) > 500
-    assert all(abs(c - cosine[p]) < 1e-5 for p, c in got.items())
+    pairs = {(a % 300 if b < 600 else a, b % 300 if b < 600 else b) for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(cosine >= 0.95, 1))))}
+    content = lambda i: i - 300 if 300 <= i < 600 else i
+    want = classes_of(range(1500), {(a, b) for a, b in pairs if content(a) != content(b)}, content)
+    for part_rows in (1024, 3):
+        monkeypatch.setattr(similar, "PART_ROWS", part_rows)
+        got = rows_of(near_vectors.near_vectors(df), "vec_id")
+        assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and got[i][2] <= want[i][2] for i in want)
+        assert sum(r[2] for r in got.values()) >= 0.95 * sum(r[2] for r in want.values()) > 500
+        assert np.mean([got[i][0] == want[i][0] for i in want]) > 0.95
+
+
+def test_vectors_against_sql_with_pairs(spark, tmp_path):
+    """The registered query and its SQL on vectors that have near and equal ones."""
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((200, 64))
+    v = np.concatenate([base, base, base + 0.05 * rng.standard_normal(base.shape), base * 0, base + 0.15 * rng.standard_normal(base.shape)]).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {r[0]: tuple(r[1:]) for r in con.sql(queries.SQL["op1_embedding_near_dedup"]).fetchall()}
+    got = rows_of(queries.op1_embedding_near_dedup(spark, str(tmp_path)), "vec_id")
+    assert got.keys() == want.keys() and sum(got[i] != want[i] for i in want) <= 0.02 * len(want) and sum(w[2] for w in want.values()) > 500
 
 
 @needs_tables
@@ -223,15 +331,14 @@ def test_apportionment_by_hand(spark):
 
 @needs_tables
 def test_pipeline_against_its_stages(spark, docs):
-    """What run() gives, from each stage's definition applied to plain Python rows."""
+    """What run() gives, from each stage's definition: near copies by brute force over all pairs, the rest row by row."""
     accept = {r["doc_id"] for r in quality.quality(docs).filter("accept").collect()}
     kept = docs.filter(F.col("doc_id").isin(*accept))
-    group = {i: i for i in accept}
-    pairs = jaccard_forest.jaccard_join(kept).collect()
-    for _ in range(20):
-        for r in pairs:
-            group[r["doc_id_a"]] = group[r["doc_id_b"]] = min(group[r["doc_id_a"]], group[r["doc_id_b"]])
-    left = kept.filter(F.col("doc_id").isin(*(i for i, g in group.items() if i == g)))
+    words = {r["doc_id"]: r["text"].lower() for r in kept.collect()}
+    pattern = re.compile("[0-9a-z\u0080-\U0010ffff]+")
+    plain = {i: " ".join(pattern.findall(t)) for i, t in words.items()}
+    label = {i: c for i, (c, _, _) in classes_of(plain, jaccard_pairs(plain), plain.get).items()}
+    left = kept.filter(F.col("doc_id").isin(*(i for i, g in label.items() if i == g)))
     drawn = {r["doc_id"] for r in mixing.mix(secrets.redacted(left)).collect()}
     final = packing.packed(secrets.redacted(left).filter(F.col("doc_id").isin(*drawn)))
     key = lambda r: tuple(r)

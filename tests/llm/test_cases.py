@@ -131,9 +131,9 @@ def test_toxicity_odd(spark, odd):
 
 
 def test_jaccard_odd(spark, odd):
-    rows = {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in jaccard_forest.jaccard_join(odd).collect()}
-    assert rows.pop((5, 9)) > 0.99
-    assert all(pair == (6, 7) for pair in rows)  # only if the row of id 6 that counts is the prose
+    rows = {r["doc_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in jaccard_forest.jaccard_join(odd).collect()}
+    want = {i: (i, 0, 0) for i in range(1, 10)} | {i: (5, 0, 1) for i in (5, 9)} | {i: (6, 1, 0) for i in (6, 7)}
+    assert rows == want  # of id 6 the prose is the least text
 
 
 def test_urls_odd(spark):
@@ -156,21 +156,22 @@ def test_licenses_odd(spark, odd):
 def test_fingerprints_odd(spark, odd):
     rows = {r["doc_id"]: r for r in fingerprints.document_fingerprints(odd).collect()}
     assert set(rows) == set(range(1, 10))
-    assert rows[1]["sig"] == rows[2]["sig"] == "" and rows[1]["matches"] == []
-    assert [m["doc_id"] for m in rows[9]["matches"]] == [5]
+    assert rows[1]["sig"] == rows[2]["sig"] == "" and (rows[1]["class_id"], rows[1]["n_copies"], rows[1]["n_links"]) == (1, 0, 0)
+    assert [(rows[i]["class_id"], rows[i]["n_links"]) for i in (5, 9)] == [(5, 1)] * 2
     assert all(len(r["sig"]) <= 64 and len(r["sig2"]) <= 64 for r in rows.values())
 
 
 def test_vectors_odd(spark):
     v = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [1.0, float("nan")]), (7, [1.0, None]), (None, [1.0, 0.0]), (8, [1.0, 0.1]), (9, [1.0, 0.0, 0.0]), (1, [1.0, 0.0]), (10, [float("inf"), 1.0]), (11, [-1.0, 0.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>").withColumns({"node": F.lit(1), "k1": F.lit("x"), "v": F.lit(2)})
-    got = sorted((r["vec_id_a"], r["vec_id_b"], r["cosine"]) for r in near_vectors.near_vectors(df).collect())
-    assert got == [(1, 2, 1.0), (1, 8, round(float(1 / np.sqrt(1.01)), 6))]
+    got = {r["vec_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in near_vectors.near_vectors(df).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 1, 1), 8: (1, 0, 1)} | {i: (i, 0, 0) for i in (3, 4, 5, 6, 7, 9, 10, 11)}
 
 
 def test_one_of_each(spark, odd):
-    pairs = spark.createDataFrame([(4, 5), (5, 9), (7, 8)], "doc_id_a long, doc_id_b long")
-    left = [r["doc_id"] for r in components.one_of_each(odd, pairs).collect()]
-    assert sorted(x for x in left if x is not None) == [1, 2, 3, 4, 6, 7] and left.count(None) == 1
-    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "doc_id_a long, doc_id_b long")
+    left = [(r["doc_id"], r["text"]) for r in jaccard_forest.one_of_each(odd).collect()]
+    assert sorted(i for i, _ in left if i is not None) == [1, 2, 3, 4, 5, 6, 8] and [t for i, t in left if i == 6] == [PROSE * 3]
+    assert (None, PROSE * 3) in left
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "doc_id long, root long")
     assert {r["label"] for r in components.labels(chain).collect()} == {1}
+    assert components.labels(chain.limit(0)).count() == 0

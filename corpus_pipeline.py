@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import components, jaccard_forest, mixing, packing, quality, secrets
+from lexmill.llm import jaccard_forest, mixing, packing, quality, secrets
 from lexmill.llm.common import by_ids, written
 
 
@@ -19,7 +19,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that the join connects, the one with the least id stays."""
-    return components.one_of_each(docs, jaccard_forest.jaccard_join(docs))
+    return jaccard_forest.one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the blocks that the apportionment drew stay."""
-    return by_ids(docs, mixing.mix(docs).select("doc_id"), keep=True)
+    return by_ids(docs, written(mixing.mix(docs).select("doc_id"), "drawn"), keep=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

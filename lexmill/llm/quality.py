@@ -1,17 +1,19 @@
-"""Quality classifier: a weak-label model over heuristic labellers, and a hashed linear scorer.
+"""Quality classifier: a weak-label model over overlapping heuristic labellers, and a hashed linear scorer.
 
-Eleven labellers, each good at one fault or at one sign of prose, vote good or bad on a whole document or abstain. How often they agree, counted over all
-documents by vote pattern, is all that expectation-maximisation needs to estimate each labeller's accuracy
-(how often its vote is right) without any label. The posterior of a document's
-pattern then is the label from which a logistic scorer over hashed features (words, word shapes, repeats)
-learns; the scorer rates every document. It is fitted on about ``TRAIN_ROWS`` documents, drawn by a hash of
-their id; pattern counts and scores cover all.
+Eleven labellers, one for each sign by which prose differs from junk, vote good or bad on a whole document, each in either direction, or abstain
+where the sign is unclear or the text too short for it. Any document gets the votes of most of them, so their agreement, counted over all
+documents by vote pattern, is all that expectation-maximisation needs to estimate, without any label, how often each is right on
+good and on bad documents (a labeller that sees one kind of junk only is seldom right on bad ones, and its good votes then say little).
+It starts from the share of good votes. The posterior of a document's pattern then is the label from which a logistic scorer over
+hashed features (words, word shapes, repeats) learns; the scorer rates every document. It is fitted on about ``TRAIN_ROWS`` different texts
+at most, drawn by a hash of the text; pattern counts and scores cover all.
 
 Results (doc_id, p_quality, accept), one row for each row of the input, in no order.
 
 Defined cases: a null text counts as empty; a text without words has probability 0 and is rejected; a null id
-stays null; repeated rows and ids are rated row by row; other columns are ignored; an empty table gives no rows. If
-no bad (or no good) document shows, every document with words is accepted at the estimated prior.
+stays null; repeated rows and ids are rated row by row, and a text that many rows have is drawn once or not at all; other columns are
+ignored; an empty table gives no rows. If no bad (or no good) document shows, every document with words is accepted at the estimated prior.
+Texts are read whole, at any length.
 """
 
 from __future__ import annotations
@@ -28,11 +30,9 @@ from lexmill.llm.common import ragged
 
 TRAIN_ROWS = 8000
 DIMENSIONS = 1 << 15
-ACCEPT = 0.3  # low, as a good document lost costs more than a poor one kept
-#: The assumption that makes classes identifiable: a vote is right more often than not, and never surely.
-BETTER_THAN_CHANCE = (0.7, 0.995)
+ACCEPT = 0.2  # low, as a good document lost costs more than a poor one kept
 GOOD, BAD, ABSTAIN = 1, 0, 2  # digits of a vote pattern
-LABELLERS = ("symbols", "glued_marks", "bare_marks", "capitals", "exclamations", "repeats", "variety", "sentences", "word_length", "prose", "even")
+LABELLERS = ("symbols", "glued_marks", "bare_marks", "capitals", "exclamations", "repeats", "variety", "kinds", "sentences", "word_length", "function_words")
 
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])
 _LETTER = np.array([chr(c).isascii() and chr(c).isalpha() or c >= 0xC3 for c in range(256)])
@@ -97,23 +97,22 @@ class Page:
 
         marked = np.concatenate([[0], np.cumsum(_MARK[data])])
         glued = K.sums((marked[tokens.end] > marked[tokens.start]) & (alnum[tokens.end] > alnum[tokens.start]), tokens.first) / t
-        some, many = words.counts >= 5, words.counts >= 20
-        bad = [
-            (marks > 0.06) & some,
-            (glued > 0.25) & some,
-            (bare > 0.15) & some,
-            (capitals > 0.5) & some,
-            (bangs > 0.2) & some,
-            (again > 0.1) & some,
-            (variety < 3) & (kinds < 0.6 * n) & many,
-            ((ends < 0.005) | (ends > 0.45)) & (words.counts >= 40),
-            ((length < 2) | (length > 14)) & some,
+        share, size = kinds / n, words.counts
+        #: What a labeller calls bad, what it calls good, and the words from which on it votes at all.
+        rules = [
+            (marks > 0.05, marks < 0.01, 5),
+            (glued > 0.1, glued < 0.02, 5),
+            (bare > 0.1, bare < 0.02, 5),
+            (capitals > 0.2, capitals < 0.08, 5),
+            (bangs > 0.1, bangs < 0.02, 5),
+            (again > 0.05, again < 0.02, 5),
+            ((variety < 4) & (share < 0.6), variety > 6, 20),
+            (share < 0.3, (share > 0.4) & (share < 0.9), 50),
+            ((ends < 0.02) | (ends > 0.3), (ends > 0.04) & (ends < 0.15), 20),
+            ((length < 4) | (length > 7), (length > 4.3) & (length < 6), 5),
+            (function < 0.1, (function > 0.2) & (function < 0.45), 10),
         ]
-        good = [
-            (function > 0.05) & (ends > 0.01) & (ends < 0.4) & (length > 2) & (length < 10) & (marks < 0.03) & (bangs < 0.1) & (again < 0.05),
-            (variety > 2) & (marks < 0.03) & (capitals < 0.2) & (again < 0.03) & (bare < 0.05),
-        ]
-        return np.stack([np.where(v, side, ABSTAIN).astype(np.uint8) for side, vs in ((BAD, bad), (GOOD, good)) for v in vs], axis=1)
+        return np.stack([np.where(size < least, ABSTAIN, np.where(bad, BAD, np.where(good, GOOD, ABSTAIN))).astype(np.uint8) for bad, good, least in rules], axis=1)
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """Feature of every occurrence, and the index of each row's first: words, shapes of tokens, repeats."""
@@ -132,7 +131,7 @@ class Page:
 
 
 def patterns(docs: DataFrame, text_col: str) -> dict[str, int]:
-    """Documents by vote pattern, of those that have words; at most 2 ** 11 patterns."""
+    """Documents by vote pattern, of those that have words; at most 3 ** 11 patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[bytes, int] = {}
@@ -148,27 +147,28 @@ def patterns(docs: DataFrame, text_col: str) -> dict[str, int]:
     return {r["pattern"]: r["n"] for r in counted.collect()}
 
 
-def label_model(counts: dict[str, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[str, float]]:
-    """(prior of good, accuracy of each labeller, posterior of good by pattern), by expectation-maximisation. A labeller
-    that abstains says nothing; one that votes is right with its accuracy, whatever the class."""
+def label_model(counts: dict[str, int], rounds: int = 500) -> tuple[float, np.ndarray, dict[str, float]]:
+    """(prior of good, 2 x labellers: how often a vote is right on bad and on good documents, posterior of good by pattern), by
+    expectation-maximisation. A labeller that abstains says nothing. The better-than-chance assumption, which tells the classes apart, is in
+    the start and in a weak prior of 0.8."""
     order = sorted(counts)
     votes = np.array([[int(c) for c in p] for p in order], dtype=int).reshape(len(order), len(LABELLERS))
     n = np.array([counts[p] for p in order], float)
-    good = np.where((votes == BAD).any(1), 0.1, 0.95)  # objections are rare, so any of them tips the start
-    accuracy, prior = np.full(len(LABELLERS), 0.8), 0.5
+    good, bad = 1.0 * (votes == GOOD), 1.0 * (votes == BAD)
+    p = (good.sum(1) + 1) / (good.sum(1) + bad.sum(1) + 2)
+    accuracy, prior = np.full((2, len(LABELLERS)), 0.8), 0.5
     for _ in range(rounds):
-        right = np.where(votes == GOOD, good[:, None], 1 - good[:, None]) * (votes != ABSTAIN) * n[:, None]
-        accuracy = (right.sum(0) + 0.8) / (((votes != ABSTAIN) * n[:, None]).sum(0) + 1)
-        accuracy = np.clip(accuracy, *BETTER_THAN_CHANCE)
-        prior = float((n @ good + 1) / (n.sum() + 2))
-        weight = np.log(accuracy / (1 - accuracy))
-        odds = np.clip(np.log(prior / (1 - prior)) + ((votes == GOOD) - 1.0 * (votes == BAD)) @ weight, -50, 50)
-        new = 1 / (1 + np.exp(-odds))
-        done = np.abs(new - good).max(initial=0) < 1e-9
-        good = new
+        of_bad, of_good = n * (1 - p), n * p
+        right, wrong = np.stack([of_bad @ bad, of_good @ good]), np.stack([of_bad @ good, of_good @ bad])
+        accuracy = (right + 1) / (right + wrong + 1.25)
+        prior = float((of_good.sum() + 1) / (n.sum() + 2))
+        odds = np.log(prior / (1 - prior)) + good @ np.log(accuracy[1] / (1 - accuracy[0])) + bad @ np.log((1 - accuracy[1]) / accuracy[0])
+        new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        done = np.abs(new - p).max(initial=0) < 1e-9
+        p = new
         if done:
             break
-    return prior, accuracy, dict(zip(order, good.tolist()))
+    return prior, accuracy, dict(zip(order, p.tolist()))
 
 
 def distinct(features: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,15 +215,18 @@ def rate(weights: np.ndarray, features: np.ndarray, begin: np.ndarray) -> np.nda
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> np.ndarray:
+def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """The scorer's weights, from all documents' votes and a bounded sample's posterior labels."""
     counts = patterns(docs, text_col)
     prior, _, posterior = label_model(counts)
     total = sum(counts.values())
-    sample = docs.select(id_col, text_col)
+    # By the text, so that ids that are null or repeat make no difference; a text that is drawn counts once, which bounds what the driver gets.
+    draw = F.xxhash64(F.lit(6), F.col(text_col))
+    sample = docs.select(draw.alias("draw"), F.col(text_col).alias("text")).filter(F.col(text_col).isNotNull())
     if total > train_rows:
         share = int(train_rows / total * (1 << 32))
-        sample = sample.filter(F.pmod(F.xxhash64(F.lit(6), F.col(id_col)), F.lit(1 << 32)) < share)
+        sample = sample.filter(F.pmod("draw", F.lit(1 << 32)) < share)
+    sample = sample.groupBy("draw").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +262,7 @@ def _rated(batch: pa.RecordBatch, text: str, weights: np.ndarray) -> np.ndarray:
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """See the module's docstring."""
-    weights = fit(docs, id_col, text_col)
+    weights = fit(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,9 +273,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, p_quality double, accept boolean")
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
-    weights = fit(docs, id_col, text_col)
+    weights = fit(docs, text_col)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,18 +1,19 @@
 """Toxicity: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
 Features, all per document and over the whole text: densities of three lexicons (insults, threats, obscenities) and of a
-fourth, learnt one, how much of them stands near a second-person pronoun, the share of capitals, of exclamation and question marks and of runs of
+fourth, drawn up from labelled documents, how much of them stands near a second-person pronoun, the share of capitals, of exclamation and question marks and of runs of
 them, of words spelt with digits or marks inside, of such words that are lexicon words when read plainly, and of words
-with a letter three times in a row. At most ``LABELLED_ROWS`` labelled documents, drawn by a hash of their id, fit all: a quarter
-of them teaches the fourth lexicon (words and beginnings of words that are far more frequent in toxic documents
-than in others), a half the trees (logistic loss, histogram splits), and a quarter calibrates the score by pooling adjacent
+with a letter three times in a row. The fourth lexicon is there because nobody can list the insults of every language beforehand: words, and
+beginnings of words, that are ``LEARN_RATIO`` times as frequent in toxic documents as in others. Trees only see its densities.
+At most ``LABELLED_ROWS`` labelled documents, drawn by a hash of their id, fit all: a quarter
+of them teaches the fourth lexicon, a half the trees (logistic loss, histogram splits), and a quarter calibrates the score by pooling adjacent
 violators. Every document is then scored.
 
 Results (doc_id, p_toxic, toxic), one row for each row of the input.
 
 Defined cases: null text counts as empty and has the probability that calibration gives to all-zero features; a null id stays
-null; repeated rows are scored row by row; labels that are null, or contradict each other for an id, are not used; without
-labels of both classes every score is the share of toxic labels (0 without any); other columns are ignored; an
+null; repeated rows are scored row by row; labels that are null, or contradict each other for an id, are not used, nor do equal texts with
+opposite labels teach the lexicon; of rows that repeat a labelled id the least text is learnt from; without labels of both classes every score is the share of toxic labels (0 without any); other columns are ignored; an
 empty table gives no rows.
 """
 
@@ -57,12 +58,15 @@ _PLAIN = np.array([ord({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "
 _INSIDE = np.array([K.ALNUM[c] or chr(c) in "$@!*" for c in range(256)])
 
 
-def units(words: K.Tokens, ranges: K.Ranges) -> list[np.ndarray]:
-    """Hashes of the words, and of the beginnings of those that are longer than a stem (0 for the others)."""
+def units(small: np.ndarray, words: K.Tokens, ranges: K.Ranges) -> list[np.ndarray]:
+    """Hashes of the words, and of the first characters of those that are longer than a stem (0 for the others)."""
     out = [ranges.hash(words.start, words.end)]
+    begins = np.append(np.flatnonzero((small & 0xC0) != 0x80), len(small))  # of characters, which may have several bytes
+    first = np.searchsorted(begins, words.start)
     for n in STEMS:
-        longer = words.end - words.start > n
-        out.append(np.where(longer, ranges.hash(words.start, np.minimum(words.start + n, words.end)) + np.uint64(n), 0))
+        end = begins[np.minimum(first + n, len(begins) - 1)]
+        longer = end < words.end
+        out.append(np.where(longer, ranges.hash(words.start, np.where(longer, end, words.end)) + np.uint64(n), 0))
     return out
 
 
@@ -70,7 +74,7 @@ def features(data: np.ndarray, offsets: np.ndarray, learnt: np.ndarray) -> np.nd
     """Rows x len(NAMES). learnt: sorted hashes of the fourth lexicon."""
     small = K.lower(data)
     words = K.Tokens(small, offsets, K.ALNUM)
-    own = units(words, K.Ranges(small))
+    own = units(small, words, K.Ranges(small))
     hashes = own[0]
     n = np.maximum(words.counts, 1)
     hits = [member(hashes, lexicon) for lexicon in _LEXICONS]
@@ -88,7 +92,7 @@ def features(data: np.ndarray, offsets: np.ndarray, learnt: np.ndarray) -> np.nd
     spelt = K.Tokens(data, offsets, _INSIDE)
     letter = np.concatenate([[0], np.cumsum(_LETTER[data])])
     letters = letter[spelt.end] - letter[spelt.start]
-    odd = (letters > 0) & (letters < spelt.end - spelt.start) & (spelt.end - spelt.start < 24)
+    odd = (letters > 0) & (letters < spelt.end - spelt.start)
     middle = odd & _LETTER[data[spelt.start]] & _LETTER[data[spelt.end - 1]]
     plain = np.zeros(len(odd), bool)
     if odd.any():
@@ -103,7 +107,7 @@ def features(data: np.ndarray, offsets: np.ndarray, learnt: np.ndarray) -> np.nd
     total = np.maximum(K.sums(_LETTER[data], offsets), 1)
     counts = [K.sums(h, words.first) for h in hits]
     out = [1000 * c / n for c in counts]
-    out += [1000 * K.sums(near, words.first) / n, np.minimum(counts[0], 50).astype(float), np.minimum(counts[3], 50).astype(float), K.sums(_UPPER[data], offsets) / total]
+    out += [1000 * K.sums(near, words.first) / n, np.log1p(counts[0]), np.log1p(counts[3]), K.sums(_UPPER[data], offsets) / total]
     out += [K.sums(bang, offsets) / n, K.sums(doubled, offsets) / n, K.sums(middle, spelt.first) / n, 1000 * K.sums(plain, spelt.first) / n]
     out += [1000 * K.sums(triple, offsets) / n, np.log1p(words.counts)]
     return np.stack(out, axis=1).astype(np.float64)
@@ -181,8 +185,8 @@ class Model:
 
 
 def learn(chosen: DataFrame) -> np.ndarray:
-    """Units of the fourth lexicon, from (toxic, text) of the rows that teach it; equal texts count once."""
-    once = chosen.dropDuplicates(["text"])
+    """Units of the fourth lexicon, from (toxic, text) of the rows that teach it; equal texts count once, or not at all if their labels differ."""
+    once = chosen.groupBy("text").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("toxic", "text")
     toxic, total = once.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +195,7 @@ def learn(chosen: DataFrame) -> np.ndarray:
                 small = K.lower(data)
                 words = K.Tokens(small, offsets, K.ALNUM)
                 row = words.row()
-                found = np.unique(np.concatenate([np.stack([row.astype(np.uint64), u], 1) for u in units(words, K.Ranges(small))]), axis=0)
+                found = np.unique(np.concatenate([np.stack([row.astype(np.uint64), u], 1) for u in units(small, words, K.Ranges(small))]), axis=0)
                 found = found[found[:, 1] != 0]
                 marks = batch.column("toxic").slice(i, j - i).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 1].copy().view(np.int64)), pa.array(marks[found[:, 0].astype(np.int64)], pa.int32())], ["unit", "toxic"])
@@ -208,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     drawn = marks.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(LABELLED_ROWS)
     part = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4)).alias("part")
     # The limit bounds what is broadcast.
-    chosen = written(docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"), part), "labelled")
+    drawn = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    chosen = written(drawn.select("doc_id", "toxic", "text", part), "labelled")
     learnt = learn(chosen.filter("part = 0"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in x.T)], ["doc_id", "toxic", "part", *NAMES])
 
     rows = chosen.filter("part > 0").mapInArrow(run, "doc_id long, toxic int, part long, " + ", ".join(f"{n} double" for n in NAMES)).toPandas()
-    rows = rows.sort_values(["doc_id", *NAMES], kind="stable").drop_duplicates("doc_id")
+    rows = rows.sort_values("doc_id", kind="stable")
     x, y, last = rows[list(NAMES)].to_numpy(), rows["toxic"].to_numpy().astype(float), rows["part"].to_numpy() == 3
     if len(y) < 50 or not 0 < y[~last].mean() < 1 or not last.any():
         return Model(learnt, None, (np.zeros(1), np.zeros(1)), float(y.mean()) if len(y) else 0.0)

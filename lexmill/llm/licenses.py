@@ -10,7 +10,8 @@ the template's word 3-grams that stand in the window.
 Results (doc_id, license, containment), one row per document row and template found, with the best window's containment.
 
 Defined cases: null and empty texts, and texts of fewer than 3 words, have no license; a null id stays null; repeated rows
-are reported each; a text may match several templates; other columns are ignored; an empty table gives no rows.
+are reported each; a text may match several templates, each with its best window; texts are scanned whole, at any length, window by window; templates need ``N``
+words, shorter ones are refused; without templates there are no rows; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,8 +63,46 @@ TEMPLATES = {
         that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
         conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list
         of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "bsd-3-clause-terms": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+        of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither
+        the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+        AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR
+        A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+        CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN
+        IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "isc-full": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS
+        IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+        ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "zlib-full": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+        for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+        including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+        origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+        software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+        source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice
+        may not be removed or altered from any source distribution.""",
+    "unlicense-full": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial
+        or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software
+        dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the
+        public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment
+        in perpetuity of all present and future rights to this software under copyright law.""",
+    "agpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version.""",
+    "lgpl-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+        version.""",
+    "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "cc0-notice": "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain worldwide",
 }
 
 
@@ -127,8 +166,9 @@ class Length:
 def classes(templates: dict[str, str] = TEMPLATES) -> list[Length]:
     by: dict[int, list[tuple[str, np.ndarray]]] = {}
     for name, text in sorted(templates.items()):
-        if n_words(text) >= N:
-            by.setdefault(max(3, (n_words(text) - 1).bit_length()), []).append((name, shingles(text)))
+        if n_words(text) < N:
+            raise ValueError(f"template {name} has fewer than {N} words")
+        by.setdefault(max(3, (n_words(text) - 1).bit_length()), []).append((name, shingles(text)))
     return [Length(power, found) for power, found in sorted(by.items())]
 
 

@@ -1,8 +1,8 @@
 """Secret scans by grammar inference: probabilistic automata learnt from labelled credentials.
 
 Labelled credentials (format, value) fill one prefix tree per format over character classes. Level by level, states
-whose distributions of next symbol and of ending are statistically compatible (Hoeffding's bound, on them and on what
-follows) merge, and states seen too rarely join the level's most frequent compatible state, so that the result is a
+whose distributions of next symbol and of ending are statistically compatible (Hoeffding's bound, on them and recursively on what
+follows each symbol) merge into the level's most frequent state that they fit, so that the result is a
 small probabilistic automaton that keeps lengths and fixed marks. Marks that all examples of a format hold equally often
 cut a value into fields; where a field's length varies, a loop reads what goes on beyond the shortest example, with the
 probabilities of staying and of leaving that the examples give, so that longer fields than any example's are read too.
@@ -38,10 +38,12 @@ from lexmill.llm import kernel as K
 
 SHORTEST = 16
 CANDIDATE = r"[A-Za-z0-9_+/=.:\-]{16,}"
-ALPHA, RARE, SMOOTH, MARGIN = 0.05, 6, 0.01, 2.0
+ALPHA, RARE, SMOOTH, MARGIN = 0.05, 6, 0.01, 6.0
 EXAMPLES = 300
 #: A last field of up to so many lengths, none of them rare, keeps them.
 FEW = 3
+#: What ending counts where no example ended, against 1 for each that did.
+NEVER = 1e-15
 END = "$"
 
 _RUN = np.array([chr(c).isascii() and (chr(c).isalnum() or chr(c) in "_+/=.:-") for c in range(256)])
@@ -58,9 +60,20 @@ def symbol(c: str) -> str:
     return c
 
 
-#: What an ordinary character costs: by class, uniform within it.
-BACKGROUND = {"0": 0.18, "a": 0.2, "g": 0.4, "A": 0.06, "G": 0.1}
-_OTHER = 0.01
+#: Ordinary characters: how likely lower case, upper case, a digit or a mark is after one of these. Words in one case, numbers and paths are
+#: likely, runs that change between kinds at random are not.
+KINDS = ("lower", "upper", "digit", "mark")
+AFTER = {"lower": (0.93, 0.01, 0.03, 0.03), "upper": (0.2, 0.72, 0.05, 0.03), "digit": (0.08, 0.04, 0.8, 0.08), "mark": (0.6, 0.2, 0.15, 0.05)}
+_KIND = {"0": "digit", "a": "lower", "g": "lower", "A": "upper", "G": "upper"}
+_WITHIN = {"0": 1.0, "a": 0.3, "g": 0.7, "A": 0.3, "G": 0.7}
+_MARKS = 8
+#: The most that a character which the automaton has never read in this state may add.
+UNSEEN = -2.0
+
+
+def background(kind: str, s: str) -> float:
+    """Log probability of a symbol after a character of some kind."""
+    return math.log(AFTER[kind][KINDS.index(_KIND.get(s, "mark"))] * _WITHIN.get(s, 1 / _MARKS))
 
 
 class Automaton:
@@ -68,39 +81,44 @@ class Automaton:
 
     def __init__(self, moves: list[dict[str, tuple[int, float]]], ends: list[float], literal: list[dict[str, dict[str, float]]], unseen: list[float], loops: set[int]):
         self.moves, self.ends, self.literal, self.unseen, self.loops = moves, ends, literal, unseen, loops
-        self.steps: dict[tuple[int, str], tuple[int, float]] = {}
+        # A character that no example has here counts as a rare one, in the place of the most frequent.
+        self.ahead = [state if state in loops or not m else max(m.values(), key=lambda x: (x[1], -x[0]))[0] for state, m in enumerate(moves)]
+        self.steps: dict[tuple[int, str, str], tuple[int, float, str]] = {}
         self.most = self._most()
 
-    def step(self, state: int, c: str) -> tuple[int, float]:
-        """The next state, and what the character adds to the score."""
-        if (known := self.steps.get((state, c))) is None:
+    def step(self, state: int, kind: str, c: str) -> tuple[int, float, str]:
+        """The next state, what the character adds to the score after one of this kind, and its own kind."""
+        if (known := self.steps.get((state, kind, c))) is None:
             s = symbol(c)
-            to, p = self.moves[state].get(s, (state, self.unseen[state]))
+            to, p = self.moves[state].get(s, (self.ahead[state], self.unseen[state]))
             if to == state and state in self.loops and s in self.moves[state]:
-                known = to, 0.0  # how long a loop goes on is no evidence, else any long run would be a secret
+                gain = 0.0  # how long a loop goes on is no evidence, else any long run would be a secret
             else:
                 letters = self.literal[state].get(s)
                 # Within a class: how this state's fixed characters (prefixes) favour one letter; else uniform.
                 inside = letters.get(c, SMOOTH) * _SIZE.get(s, 1) if letters else 1.0
-                known = to, math.log(p * inside) - math.log(BACKGROUND.get(s, _OTHER))
-            self.steps[state, c] = known
+                gain = math.log(p * inside) - background(kind, s)
+                if s not in self.moves[state]:
+                    gain = min(gain, UNSEEN)
+            known = self.steps[state, kind, c] = to, gain, _KIND.get(s, "mark")
         return known
 
     def _most(self) -> list[float]:
         """The most that can be added from each state to the end. States only lead to later ones or to themselves."""
         most = [0.0] * len(self.moves)
         for state in reversed(range(len(self.moves))):
-            steps = [self.step(state, c) for c in _CHARACTERS]
-            most[state] = max(math.log(self.ends[state]), *(gain + most[to] for to, gain in steps if to != state), -math.inf)
-            if any(to == state and gain > 0 for to, gain in steps):
+            steps = [self.step(state, kind, c) for c in _EXAMPLE for kind in KINDS]
+            fixed = [self.step(state, kind, c) for s in self.literal[state].values() for c in s for kind in KINDS]
+            most[state] = max(math.log(self.ends[state]), *(gain + most[to] for to, gain, _ in [*steps, *fixed] if to != state), -math.inf)
+            if any(to == state and gain > 0 for to, gain, _ in steps):
                 most[state] = math.inf
         return most
 
     def spans(self, value: str, start: int, ends: set[int], least: float) -> Iterator[tuple[int, float]]:
         """(end, score) of the spans from ``start`` that score ``least`` or more."""
-        state, total = 0, 0.0
+        state, total, kind = 0, 0.0, "mark"
         for at in range(start, len(value)):
-            state, gain = self.step(state, value[at])
+            state, gain, kind = self.step(state, kind, value[at])
             total += gain
             if total + self.most[state] < least:
                 return
@@ -109,15 +127,16 @@ class Automaton:
 
     def score(self, value: str) -> float:
         """Log likelihood ratio of the whole value against ordinary characters."""
-        state, total = 0, 0.0
+        state, total, kind = 0, 0.0, "mark"
         for c in value:
-            state, gain = self.step(state, c)
+            state, gain, kind = self.step(state, kind, c)
             total += gain
         return total + math.log(self.ends[state])
 
 
 _SIZE = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20}
-_CHARACTERS = [chr(c) for c in range(256) if _RUN[c]]
+#: One character of each class, and every mark.
+_EXAMPLE = "0agAG_+/=.:-"
 
 
 def compatible(a: Counter, b: Counter, alpha: float = ALPHA) -> bool:
@@ -174,7 +193,7 @@ def infer(values: list[str]) -> Automaton:
                 if again:
                     loops.add(base)
                 over = tails is None and sum(len(v) == depth for v in bag)
-                ends.append((over + 1e-4) / (total + 1))
+                ends.append((over + NEVER) / (total + 1))
                 unseen.append(0.5 / (total + 1))
                 chars = {s: Counter(v[depth] for v in vs) for s, vs in split.items()}
                 fixed = {s: {c: k / n.total() for c, k in n.items()} for s, n in chars.items() if s in _SIZE and n.total() >= 5 * RARE and len(n) <= 2}
@@ -184,15 +203,15 @@ def infer(values: list[str]) -> Automaton:
                     nxt.append(vs)
             if not nxt:
                 break
-            # Merge what is compatible, the most frequent states first; rare ones fall to the first that they fit, or to the largest.
+            # Merge what is compatible, the most frequent states first; what is compatible with none becomes a state of its own.
             order = sorted(range(len(nxt)), key=lambda i: (-len(nxt[i]), origin[i]))
             merged: list[list[str]] = []
             place: dict[int, int] = {}
             for i in order:
-                own = _next(nxt[i], depth + 1)
-                at = next((k for k, bag in enumerate(merged) if compatible(_next(bag, depth + 1), own) and compatible(_next(bag, depth + 2), _next(nxt[i], depth + 2))), None)
-                if merged and (tails is not None and depth + 1 == longest or at is None and len(nxt[i]) < RARE):
-                    at = 0
+                if tails is not None and depth + 1 == longest:
+                    at = 0 if merged else None  # all states that end a part lead into one loop
+                else:
+                    at = next((k for k, bag in enumerate(merged) if mergeable(bag, nxt[i], depth + 1)), None)
                 if at is None:
                     at = len(merged)
                     merged.append([])
@@ -209,6 +228,21 @@ def _next(bag: list[str], depth: int) -> Counter:
     return Counter(symbol(v[depth]) if len(v) > depth else END for v in bag if len(v) >= depth)
 
 
+def mergeable(a: list[str], b: list[str], depth: int) -> bool:
+    """Whether two bags may come from one state: their next symbols are compatible, and so is, symbol by symbol, what follows. The recursion ends
+    where either bag is too small to tell."""
+    if not compatible(_next(a, depth), _next(b, depth)):
+        return False
+    if min(len(a), len(b)) < RARE:
+        return True
+    split: dict[str, tuple[list[str], list[str]]] = {}
+    for side, bag in enumerate((a, b)):
+        for v in bag:
+            if len(v) > depth:
+                split.setdefault(symbol(v[depth]), ([], []))[side].append(v)
+    return all(mergeable(x, y, depth + 1) for x, y in split.values() if x and y)
+
+
 def labelled(seed: int = 17, n: int = EXAMPLES) -> list[tuple[str, str]]:
     """Credentials of publicly documented formats, made from a seed: what a labelled set holds. Those that have no one length are drawn
     at many, from the shortest that the format allows."""
@@ -265,10 +299,7 @@ class Scanner:
             if at + 1 in ends and value[at] in _TRAIL:
                 ends.add(at)
         hits = []
-        digits = any(c.isdigit() for c in value)
         for name, (automaton, least) in self.formats.items():
-            if not digits and not automaton.literal[0]:
-                continue
             for start in starts:
                 hits += [(-score, start, -end, name) for end, score in automaton.spans(value, start, ends, max(least, 0.0)) if score > 0 and end - start >= SHORTEST]
         taken: list[tuple[int, int, str, float]] = []
@@ -288,13 +319,17 @@ def _candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.searchsorted(offsets, start, "right") - 1, start, end
 
 
-def _found(scanner: Scanner, column: pa.Array) -> Iterator[tuple[int, int, int, str, float]]:
-    """(row, first byte within the row's text, bytes, format, score)."""
+def _found(scanner: Scanner, column: pa.Array) -> Iterator[tuple[int, int, int, int, str, float]]:
+    """(row, first byte within the row's text, first character, bytes, format, score), in order. A secret has one byte a character."""
     for i, _, data, offsets in K.texts(column):
+        characters = None
         for r, s, e in zip(*(x.tolist() for x in _candidates(data, offsets))):
             value = data[s:e].tobytes().decode()
             for start, end, name, score in scanner.scan(value):
-                yield i + r, s + start - int(offsets[r]), end - start, name, score
+                if characters is None:  # counted once for all secrets of the slice
+                    characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                at = int(offsets[r])
+                yield i + r, s + start - at, int(characters[s + start] - characters[at]), end - start, name, score
 
 
 def secrets(docs: DataFrame, examples: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -303,10 +338,7 @@ def secrets(docs: DataFrame, examples: list[tuple[str, str]] | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, rows = batch.column("text"), []
-            for r, at, n, name, score in _found(scanner, text):
-                before = len(text[r].as_py().encode()[:at].decode())
-                rows.append((r, before, n, name, round(score, 6)))
+            rows = [(r, before, n, name, round(score, 6)) for r, _, before, n, name, score in _found(scanner, batch.column("text"))]
             cols = list(zip(*rows)) if rows else [[]] * 5
             ids = batch.column("doc_id").take(pa.array(cols[0], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float64())], ["doc_id", "start", "length", "format", "score"])
@@ -322,14 +354,15 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            changed: dict[int, bytearray] = {}
-            for r, at, n, _, _ in reversed(list(_found(scanner, batch.column(place)))):
-                raw = changed.setdefault(r, bytearray(batch.column(place)[r].as_py().encode()))
-                raw[at : at + n] = b"<SECRET>"
-            if changed:
+            hits: dict[int, list[tuple[int, int]]] = {}
+            for r, at, _, n, _, _ in _found(scanner, batch.column(place)):
+                hits.setdefault(r, []).append((at, at + n))
+            if hits:
                 texts = batch.column(place).to_pylist()
-                for r, raw in changed.items():
-                    texts[r] = raw.decode()
+                for r, spans in hits.items():
+                    raw = texts[r].encode()
+                    kept = [raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)])]
+                    texts[r] = b"<SECRET>".join(kept).decode()
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
             yield batch
 

@@ -262,6 +262,35 @@ def test_packing_round_trip(spark, docs):
     assert all(n <= packing.STEP_TOKENS // tier for (_, tier, _), n in groups.items())
 
 
+def plainly_packed(lengths, tiers):
+    """(tier, window, place) of each piece by the definition, looking at every window and every piece each time."""
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    tier_of = {i: min(t for t in tiers if lengths[i] <= t) for i in order}
+    where = {}
+    for tier in sorted(tiers, reverse=True):
+        windows = []
+        for i in (i for i in order if tier_of[i] == tier and i not in where):
+            room = [(tier - w, n) for n, w in enumerate(windows) if tier - w >= lengths[i]]
+            n = min(room)[1] if room else len(windows)
+            windows = windows if room else [*windows, 0]
+            where[i] = (tier, n, windows[n])
+            windows[n] += lengths[i]
+        for n in sorted((n for n, w in enumerate(windows) if w < tier), key=lambda n: (tier - windows[n], n), reverse=True):
+            while fits := [i for i in order if tier_of[i] < tier and i not in where and lengths[i] <= tier - windows[n]]:
+                i = max(fits, key=lambda i: (lengths[i], -i))
+                where[i] = (tier, n, windows[n])
+                windows[n] += lengths[i]
+    return [where[i] for i in range(len(lengths))]
+
+
+def test_packing_against_a_plain_packer():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 5, 40, 150):
+        for tiers in ((512, 2048, 8192), (8, 16), (64,)):
+            lengths = [int(x) for x in np.minimum(rng.geometric(6 / max(tiers), n), max(tiers))]
+            assert packing.pack(lengths, tiers) == plainly_packed(lengths, tiers)
+
+
 def test_gaps_are_filled_from_shorter_tiers():
     where = packing.pack([7000, 1100, 500, 300, 90], (512, 2048, 8192))
     assert where[0][0] == 8192 and where[1][0] == 8192 and {w[:2] for w in where[:2]} == {(8192, 0)}
@@ -308,6 +337,42 @@ def test_grammar_inference_tells_formats(spark):
     assert sum(scanner.best(w) is not None for w in words) <= 3
 
 
+def test_every_format_is_found_whole_by_the_scan():
+    """All credentials, those without a digit too; thresholds are positive, so a value likelier as ordinary text is none."""
+    scanner = secrets.Scanner()
+    assert all(least > 0 for _, least in scanner.formats.values())
+    seen, found = Counter(), Counter()
+    for name, value in secrets.labelled(99, 400):
+        for text in (value, f"key={value}.", f"//user:{value}", f"a/{value}:b"):
+            seen[name] += 1
+            found[name] += [h[2] for h in scanner.scan(text) if text[h[0] : h[1]] == value] == [name]
+    # Keys that hold "/" themselves can be read in another place behind a path.
+    assert all(found[name] >= (0.9 if name == "secret_key_40" else 0.98) * n for name, n in seen.items()), {n: round(found[n] / seen[n], 4) for n in seen}
+
+
+def test_scan_is_the_best_of_all_spans():
+    """Against scoring every span of a run, that begins and ends where the definition says, by every automaton."""
+    scanner, rng = secrets.Scanner(), np.random.default_rng(12)
+    values = [v for _, v in secrets.labelled(5, 4)]
+    for _ in range(60):
+        run = "".join(x for _ in range(4) for x in (values[rng.integers(len(values))] if rng.random() < 0.5 else "word" * int(rng.integers(1, 5)), "=/:.-_"[rng.integers(6)]))
+        ends = {len(run), *(i for i, c in enumerate(run) if c in "/:=")}
+        for at in range(len(run) - 1, 0, -1):
+            if at + 1 in ends and run[at] in ".:=-":
+                ends.add(at)
+        hits = []
+        for a in {0, *(i + 1 for i, c in enumerate(run) if c in "/:=")}:
+            for b in ends:
+                for name, (automaton, least) in scanner.formats.items():
+                    if b - a >= secrets.SHORTEST and (score := automaton.score(run[a:b])) > 0 and score >= least:
+                        hits.append((-score, name, a, -b))
+        taken = []
+        for _, name, a, b in ((s, n, a, -b) for s, n, a, b in sorted(hits)):
+            if all(b <= x or y <= a for x, y, _ in taken):
+                taken.append((a, b, name))
+        assert [h[:3] for h in scanner.scan(run)] == sorted(taken)
+
+
 def test_grammar_inference_reads_other_lengths():
     """Signed web tokens and keys shorter and longer than most examples, or than any; long runs of other kinds aren't any format."""
     scanner, rng = secrets.Scanner(), np.random.default_rng(5)

@@ -145,11 +145,31 @@ def test_urls_odd(spark):
     assert [r["rule_id"] for r in url_rules.matched(df.filter("page_id IS NULL"), tie).collect()] == [3]
 
 
+def test_urls_in_many_ranges(spark, monkeypatch):
+    """A key that a third of all pages have is dealt to several sweeps; the result is that of one range."""
+    rng = np.random.default_rng(3)
+    hosts = ["example.com", "casino-win.example.com", "blog.tionsh.example.com", "a.example.net", "x.example.org"]
+    urls = ["https://blog.tionsh.example.com/fr/1"] * 400 + [f"https://{hosts[rng.integers(5)]}/{['en', 'fr', 'de'][rng.integers(3)]}/{rng.integers(99)}" for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    one = sorted(map(tuple, url_rules.matched(df, url_rules.rule_table(spark)).collect()))
+    monkeypatch.setattr(url_rules, "PAGES_PER_RANGE", 40)
+    assert sorted(map(tuple, url_rules.matched(df, url_rules.rule_table(spark)).collect())) == one
+    ranges = url_rules.Ranges([b"a", b"c", b"c", b"c", b"d"])
+    assert ranges.sweeps == [1, 1, 3, 1, 1] and ranges.bounds == [b"a", b"c", b"c\0", b"d"]
+    none = url_rules.matched(df, url_rules.rule_table(spark, ())).agg(F.count("*"), F.sum("n_rules")).first()
+    assert tuple(none) == (1200, 0)
+
+
 def test_licenses_odd(spark, odd):
     text = f"{LONG} Licensed under the Apache License, Version 2.0 {LONG} Released under the MIT License"
     rows = table(spark, [(1, text, "a"), (None, text, "a"), (2, None, "a"), (3, "", None), (4, "MIT License", "a"), (1, text, "a")])
     got = sorted((r["doc_id"] or 0, r["license"], r["containment"]) for r in licenses.licenses(rows).collect())
     assert got == sorted([(i, n, 1.0) for i in (0, 1, 1) for n in ("apache-2.0-notice", "mit-notice")])
+    for name, template in licenses.TEMPLATES.items():
+        assert name in {r["license"] for r in licenses.licenses(table(spark, [(1, f"some {template} text", "a")])).collect()}
+    with pytest.raises(ValueError):
+        licenses.classes({"short": "two words"})
+    assert licenses.licenses(rows, {}).count() == 0
     assert licenses.licenses(odd).count() == 0
 
 

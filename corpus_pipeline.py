@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 ``documents``. ``run`` applies them, writing each stage's result to the shared folder and reading it again.
+
+Defined cases, by stage: null and empty texts are rejected by the first, as texts without words; rows without an id pass the first three as they are
+and go with the mixture, which deals documents out by id; of rows that repeat an id the first judges each, and one, of the least text, is left by the second;
+texts are read whole, at any length; columns beyond those of ``documents`` are kept up to the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -196,7 +196,8 @@ def _alike(batch: pa.RecordBatch) -> np.ndarray:
 def links(docs: DataFrame, base: DataFrame, threshold: float = THRESHOLD, n: int = N, target: float = TARGET) -> DataFrame:
     """(doc_id, root, links) of documents and their signatures (see ``similar.links``)."""
     payload = lambda ids: gram_sets(might(docs, ids).filter("_might"), n)
-    return similar.links(_trie(base), payload, _compare(threshold, target), _alike, (1 + threshold) / 2)
+    sketch = base.select("doc_id", F.hex(F.substring("sig", 1, 4)).alias("sketch"))
+    return similar.links(_trie(base), payload, _compare(threshold, target), sketch, _alike, (1 + threshold) / 2)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, target: float = TARGET) -> DataFrame:

@@ -144,10 +144,11 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     first = written(base.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "k1"), "firsts")
     single = written(might(vectors, first).filter("_might").select("doc_id", "v").join(first, "doc_id").select("doc_id", "k1", "v"), "vectors")
     k, tables = plan(single.count(), threshold)
-    buckets = single.mapInArrow(_buckets(k, tables), "node long, k1 long, doc_id long")
+    cells = lambda k, tables: single.mapInArrow(_buckets(k, tables), "node long, k1 long, doc_id long")
+    buckets, sketch = cells(k, tables), cells(2, 1).select("doc_id", F.col("node").alias("sketch"))
     payload = lambda ids: single.join(ids, "doc_id", "left_semi").select("doc_id", F.size("v").cast("long").alias("weight"), "v")
     tight = math.cos(math.acos(threshold) / 2) + 1e-9  # rounding must not make a pair just below the threshold sure
-    found = similar.classes(base, similar.links(buckets, payload, _compare(threshold), _alike, tight))
+    found = similar.classes(base, similar.links(buckets, payload, _compare(threshold), sketch, _alike, tight))
     zero = F.lit(0).cast("long")
     out = vectors.select("doc_id").join(found, "doc_id", "left")
     return out.select(F.col("doc_id").alias("vec_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", zero).alias("n_copies"), F.coalesce("n_links", zero).alias("n_links"))

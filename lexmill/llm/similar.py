@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import components
-from lexmill.llm.common import longs, pair_blocks, partitions, runs, whole_groups, written
+from lexmill.llm.common import longs, might, pair_blocks, partitions, runs, whole_groups, written
 
 PART_ROWS, PART_WEIGHT = 1024, 1 << 21
 LINKS = "doc_id long, root long, links long"
@@ -53,16 +53,23 @@ def places(nodes: DataFrame) -> DataFrame:
     return written(rows.select("node", "doc_id").join(name, "node").select("doc_id", "name").distinct(), "places")
 
 
-def _cores(placed: DataFrame, have: DataFrame, alike: Callable[[pa.RecordBatch], np.ndarray], tight: float) -> DataFrame | None:
-    """(doc_id, core): the leader within half the distance; a member has one core at most. None where no name is large."""
+def _cores(placed: DataFrame, have: DataFrame, sketch: DataFrame, alike: Callable[[pa.RecordBatch], np.ndarray], tight: float) -> DataFrame | None:
+    """(doc_id, core): the name whose leader is within half the distance; a member has one core at most. A name's leader is the least member
+    that has its most frequent sketch. None where no name is large."""
     hot = placed.groupBy("name").count().filter(F.col("count") > PART_ROWS)
     hot = written(hot.select("name", F.ceil(F.col("count") / PART_ROWS).cast("long").alias("parts")), "hot")
     if hot.isEmpty():
         return None
+    member = written(placed.join(hot, "name").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), "members")
+    ids = member.select("doc_id").distinct()
+    often = might(sketch, ids).filter("_might").select("doc_id", "sketch").join(member, "doc_id").groupBy("name", "sketch").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"))
+    chosen = written(often.groupBy("name").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader")).join(hot, "name"), "leaders")
     own = [c for c in have.columns if c not in ("doc_id", "weight")]
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-    leader = hot.join(have.withColumnRenamed("doc_id", "name"), "name").select("name", part, *(F.col(c).alias(f"of_{c}") for c in own))
-    member = placed.join(hot, "name").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).join(have.select("doc_id", *own), "doc_id")
+    # Only what members of large names need is shuffled.
+    leads = might(have, chosen.select(F.col("leader").alias("doc_id")).distinct()).filter("_might").withColumnRenamed("doc_id", "leader")
+    leader = chosen.join(leads, "leader").select("name", part, *(F.col(c).alias(f"of_{c}") for c in own))
+    member = member.join(might(have, ids).filter("_might").select("doc_id", *own), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,12 +155,13 @@ def blocks(placed: DataFrame, have: DataFrame, cores: DataFrame | None) -> DataF
     return out.repartition(partitions(out), "grp").sortWithinPartitions("grp", "doc_id")
 
 
-def links(nodes: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Compare, alike: Callable[[pa.RecordBatch], np.ndarray] | None = None, tight: float = 0.0) -> DataFrame:
+def links(nodes: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Compare, sketch: DataFrame | None = None, alike: Callable[[pa.RecordBatch], np.ndarray] | None = None, tight: float = 0.0) -> DataFrame:
     """(doc_id, root, links) of linked members, partial sums. ``payload`` gives (doc_id, weight, ...), what is to be compared, for a table of ids (more than these does no
-    harm); ``alike`` the similarity of a row's own columns to its leader's (``of_...``); ``tight`` the similarity at half the distance allowed."""
+    harm); ``sketch`` a value (doc_id, sketch) that near copies mostly share; ``alike`` the similarity of a row's own columns to its leader's (``of_...``);
+    ``tight`` the similarity at half the distance allowed. Without the last three there are no cores."""
     placed = places(nodes)
     have = written(payload(placed.select("doc_id").distinct()), "compared")
-    cores = _cores(placed, have, alike, tight) if alike else None
+    cores = _cores(placed, have, sketch, alike, tight) if alike else None
     found = blocks(placed, have, cores).mapInArrow(_met(compare), LINKS)
     if cores is not None:
         size = cores.groupBy("core").agg(F.min("doc_id").alias("root"), (F.count("*") - 1).alias("links"))

@@ -20,6 +20,7 @@ def _load(path: str):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
     return lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)], lambda ids: [model.id_to_token(i) for i in ids]
 
 

@@ -120,6 +120,15 @@ def cleaned(filings: DataFrame, parse: bool = False, extract: Callable | None =
     return rows.select(*(c for c in filings.columns if c != "content"), F.inline(F.array(result)))
 
 
+def error_log(clean: DataFrame) -> DataFrame:
+    """Filings with errors: removed, and ``log`` with position, type and kind of each (an encoded PDF that gave no text, a document without a type).
+    Paper filings aren't looked at."""
+    entry = lambda o, i, kind: F.struct(i.alias("pos"), o["type"].alias("type"), F.lit(kind).alias("error_type"))
+    of = lambda kind, wrong: F.filter(F.transform("documents", lambda o, i: F.when(wrong(o), entry(o, i, kind))), lambda e: e.isNotNull())
+    log = F.concat(of("pdf_extraction", lambda o: (o["action"] == "extract") & o["text"].isNull()), of("no_type", lambda o: o["type"].isNull()))
+    return clean.filter("NOT paper").withColumn("log", log).filter(F.size("log") > 0).drop("documents", "content", "paper")
+
+
 def processing_log(clean: DataFrame, *by: str) -> DataFrame:
     """Counters of filings and documents per group (a day): one aggregation with partial sums, no text is shuffled. Documents of paper
     filings are not looked at and count nowhere."""

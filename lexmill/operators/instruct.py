@@ -43,9 +43,36 @@ def prompt(instruction: Column, context: Column) -> Column:
     return F.concat(F.lit("### Instruction:\n"), instruction, middle, F.lit("\n\n### Response:"))
 
 
-def status_counts(lines: DataFrame, line: str, field: str) -> DataFrame:
-    """Lines by status: success, empty_filing (no text in the field) or invalid_json."""
-    parsed = F.expr(f"try_parse_json({line})")
-    text = F.try_variant_get(parsed, f"$.{field}", "string")
-    status = F.when(parsed.isNull(), F.lit("invalid_json")).when(F.coalesce(F.trim(text), F.lit("")) == "", F.lit("empty_filing")).otherwise(F.lit("success"))
-    return lines.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+FALSY = ('""', "0", "0.0", "false", "null", "[]", "{}")
+
+
+def line_status(line: Column, field: str, tokenizer: bool = True) -> Column:
+    """What becomes of a line: ``invalid_json`` if it doesn't parse; ``other_error`` if it is no object, or its field holds something other than
+    text that isn't empty; ``empty_filing`` if the field is missing or empty (of any type); else ``success``, for white space too. Without a
+    tokenizer every line is a ``tokenizer_error``. A null line doesn't parse."""
+    if not tokenizer:
+        return F.lit("tokenizer_error")
+    parsed = F.try_parse_json(line)
+    value = F.try_variant_get(parsed, f"$.{field}", "variant")
+    empty = value.isNull() | F.to_json(value).isin(*FALSY)
+    known = F.when(~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit("other_error")).when(empty, F.lit("empty_filing"))
+    known = known.when(F.schema_of_variant(value) == "STRING", F.lit("success")).otherwise(F.lit("other_error"))
+    return F.when(parsed.isNull(), F.lit("invalid_json")).otherwise(known)
+
+
+def status_counts(lines: DataFrame, line: str, field: str, tokenizer: bool = True) -> DataFrame:
+    """Lines by status (see ``line_status``)."""
+    return lines.groupBy(line_status(F.col(line), field, tokenizer).alias("status")).agg(F.count("*").alias("n"))
+
+
+def required(records: DataFrame, json: str, keys: list[str]) -> DataFrame:
+    """The records; the job fails, naming the record, where one lacks a key."""
+    lacks = F.size(F.array_except(F.array(*(F.lit(k) for k in keys)), F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")))) > 0
+    checked = F.when(lacks, F.raise_error(F.concat(F.lit("keys missing: "), F.col(json)))).otherwise(F.col(json))
+    return records.withColumn(json, checked)
+
+
+def key_kind(name: Column, adapters: tuple[str, ...] = ("lora_A", "lora_B"), dropped: tuple[str, ...] = ("embed_tokens", "lm_head")) -> Column:
+    """What a weight is by parts of its name: dropped, adapter or other."""
+    holds = lambda parts: F.exists(F.array(*(F.lit(p) for p in parts)), lambda p: F.contains(name, p))
+    return F.when(holds(dropped), F.lit("dropped")).when(holds(adapters), F.lit("adapter")).otherwise(F.lit("other"))

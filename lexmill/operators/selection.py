@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexmill.functions.text import first_group
 
@@ -38,6 +39,12 @@ def after(rows: DataFrame, order: str, n: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(edge)).filter(F.col(order) > F.col("_at")).drop("_at")
 
 
+def resumed(rows: DataFrame, order: str, last_done: Column) -> DataFrame:
+    """The rows after the first that fits, in the order of a column; none if nothing fits. One value is broadcast."""
+    edge = rows.filter(last_done).agg(F.min(order).alias("_at"))
+    return rows.crossJoin(F.broadcast(edge)).filter(F.col(order) > F.col("_at")).drop("_at")
+
+
 def form_type_of(name: Column) -> Column:
     return first_group(name, r"^\d{8}_(.*?)_\d+_\d+\.txt$")
 
@@ -57,6 +64,28 @@ def union_years(sets: dict[int, DataFrame | None]) -> DataFrame:
     return out
 
 
+def head_of_each(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each group; every task drops what can't be among them before the shuffle."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("_n") <= n).drop("_n")
+
+
+def merged(parts: dict[int, DataFrame | None], order: str) -> DataFrame:
+    """The workers' parts that exist, with ``worker``, in the order of worker and position."""
+    there = [df.withColumn("worker", F.lit(w)) for w, df in sorted(parts.items()) if df is not None]
+    out = there[0]
+    for df in there[1:]:
+        out = out.unionByName(df)
+    return out.orderBy("worker", order)
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """Structs as columns ``outer_inner``, at any depth."""
+    while any(isinstance(f.dataType, StructType) for f in rows.schema):
+        inner = lambda f: [F.col(f.name)[g.name].alias(f"{f.name}_{g.name}") for g in f.dataType] if isinstance(f.dataType, StructType) else [F.col(f.name)]
+        rows = rows.select(*(c for f in rows.schema for c in inner(f)))
+    return rows
+
+
 def token_estimate(rows: DataFrame, chars: str) -> DataFrame:
     """Characters, and tokens in units of 1e12 at four and at three characters each."""
     total = F.coalesce(F.sum(chars), F.lit(0))

@@ -19,12 +19,17 @@ def chunk_bounds(n_tokens: Column, length: int, stride: int) -> Column:
     return F.sequence(F.lit(0), F.greatest(n_tokens, F.lit(length)) - 1, F.lit(length - stride))
 
 
-def chunks(df: DataFrame, tokens: str, length: int, stride: int) -> DataFrame:
-    """One row per window: chunk_no, start_tok, end_tok, n_real, n_pad."""
-    total = F.greatest(F.size(tokens), F.lit(length))
-    out = df.select("*", F.posexplode(chunk_bounds(F.size(tokens), length, stride)).alias("chunk_no", "start_tok"))
+def count_words(text: Column) -> Column:
+    """How many there are, without an array of them; a null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+
+
+def chunks(df: DataFrame, n: str, length: int, stride: int) -> DataFrame:
+    """From token counts, one row per window: chunk_no, start_tok, end_tok, n_real, n_pad."""
+    total = F.greatest(F.col(n), F.lit(length))
+    out = df.select("*", F.posexplode(chunk_bounds(F.col(n), length, stride)).alias("chunk_no", "start_tok"))
     end = F.least(F.col("start_tok") + length, total)
-    real = F.greatest(F.least(end, F.size(tokens)) - F.col("start_tok"), F.lit(0))
+    real = F.greatest(F.least(end, F.col(n)) - F.col("start_tok"), F.lit(0))
     return out.withColumns({"end_tok": end, "n_real": real, "n_pad": F.lit(length) - real})
 
 

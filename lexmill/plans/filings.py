@@ -20,7 +20,7 @@ CONTENT = """concat('<SUBMISSION>', chr(10), '<CONFORMED-NAME>Firm ', source, ch
   CASE WHEN doc_id % 4 = 0 THEN concat('<DOCUMENT>', chr(10), '<TYPE>GRAPHIC', chr(10), '<TEXT>', chr(10), 'begin 644 x.jpg', chr(10), '#0V%T', chr(10), 'end', chr(10), '</TEXT>', chr(10), '</DOCUMENT>', chr(10)) ELSE '' END,
   CASE WHEN doc_id % 9 = 0 THEN concat('<DOCUMENT>', chr(10), '<TYPE>10-K', chr(10), '<TEXT>', chr(10), '<PDF>', chr(10), 'begin 644 x.pdf', chr(10), '#0V%T', chr(10), 'end', chr(10), '</PDF>', chr(10), '</TEXT>', chr(10), '</DOCUMENT>', chr(10)) ELSE '' END,
   CASE WHEN doc_id % 18 = 0 THEN concat('<DOCUMENT>', chr(10), '<TYPE>TEXT-EXTRACT', chr(10), '<TEXT>', chr(10), 'extract', chr(10), '</TEXT>', chr(10), '</DOCUMENT>', chr(10)) ELSE '' END,
-  '<DOCUMENT>', chr(10), '<TYPE>EX-1', chr(10), '<TEXT>', chr(10), '<html><b>', left(coalesce(text, ''), 50), '</b></html>', chr(10), '</TEXT>', chr(10), '</DOCUMENT>', chr(10), '</SUBMISSION>')"""
+  '<DOCUMENT>', chr(10), '<TYPE>EX-1', chr(10), '<TEXT>', chr(10), '<html><b>', coalesce(text, ''), '</b></html>', chr(10), '</TEXT>', chr(10), '</DOCUMENT>', chr(10), '</SUBMISSION>')"""
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,8 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
+    # Distinct in each text first, so that repeats are never exploded.
+    words = lambda df: df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("token"))
     return words(table(spark, sf_dir, "conversations")).distinct().join(words(_docs(spark, sf_dir)).distinct(), "token", "left_anti")
 
 
@@ -76,8 +77,9 @@ def blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resume_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All after the place of a name that was the last to be done (here the first that ends in 7.txt)."""
     docs = _docs(spark, sf_dir).select("doc_id", F.expr(NAME).alias("name"))
-    return docs.crossJoin(F.broadcast(docs.filter("doc_id = 500").agg(F.max("doc_id").alias("at")))).filter("doc_id > at").select("doc_id", "name")
+    return O.resumed(docs, "doc_id", F.endswith("name", F.lit("7.txt"))).select("doc_id", "name")
 
 
 def required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +108,7 @@ SQL = {
     "head_n": "SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id LIMIT 100",
     "skip_n": "SELECT doc_id, source FROM documents ORDER BY doc_id OFFSET 100",
     "blank_filter": r"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0",
-    "resume_after": f"SELECT doc_id, {NAME} AS name FROM documents WHERE doc_id > (SELECT max(doc_id) FROM documents WHERE doc_id = 500)",
+    "resume_after": f"SELECT doc_id, {NAME} AS name FROM documents WHERE doc_id > (SELECT min(doc_id) FROM documents WHERE {NAME} LIKE '%7.txt')",
     "required_keys": "SELECT event_id, coalesce(list_contains(json_keys(props), 'k'), false) AS complete FROM events",
     "file_routing": "SELECT doc_id, CASE WHEN n_chars > 8000 THEN 'retry' ELSE 'normal' END AS route FROM documents",
 }

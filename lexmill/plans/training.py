@@ -13,6 +13,9 @@ from lexmill.session import table
 
 LENGTH, STRIDE, PAD, BOS, VOCABULARY = 64, 8, 0, 1, 5000
 GPUS, BATCH, ACCUMULATE = 4, 8, 2
+#: Valid in Spark and in DuckDB: whole and broken JSON, objects with and without a text, other values.
+LINE = """CASE event_id % 13 WHEN 0 THEN left(props, 3) WHEN 1 THEN '{"k": ""}' WHEN 2 THEN '{"k": " "}' WHEN 3 THEN '{"k": "text"}' WHEN 4 THEN '[1]' WHEN 5 THEN '"k"'
+  WHEN 6 THEN '{"k": null}' WHEN 7 THEN '{"j": "x"}' WHEN 8 THEN '{"k": [1]}' WHEN 9 THEN '{"k": []}' WHEN 10 THEN '{"k": false}' WHEN 11 THEN '{"k": 0}' ELSE props END"""
 
 
 def _joined(c: Column) -> Column:
@@ -25,23 +28,18 @@ def _chunked(docs: DataFrame) -> DataFrame:
 
 
 def chunk_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``chunk_arrays_whole`` that its SQL twin has: those of one source."""
-    return _chunked(table(spark, sf_dir, "documents").filter("source = 'src2'"))
-
-
-def chunk_arrays_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document of every source; checked against a fixture."""
+    """Every document of every source."""
     return _chunked(table(spark, sf_dir, "documents"))
 
 
 def token_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines by status: valid JSON with a text, empty, or invalid."""
-    lines = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 == 0, F.substring("props", 1, 3)).when(F.col("event_id") % 7 == 0, F.lit('{"k": ""}')).otherwise(F.col("props")).alias("line"))
+    """Lines of every kind by status."""
+    lines = table(spark, sf_dir, "events").select(F.expr(LINE).alias("line"))
     return I.status_counts(lines, "line", "k")
 
 
 def max_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size(T.words(F.col("text")))
+    n = T.count_words(F.col("text"))
     return T.max_steps(table(spark, sf_dir, "documents").select(n.alias("n")), "n", LENGTH, GPUS, BATCH, ACCUMULATE)
 
 
@@ -74,7 +72,7 @@ def masked_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def max_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = lambda c: F.size(T.words(F.col(c)))
+    n = lambda c: T.count_words(F.col(c))
     return _pairs(spark, sf_dir).agg(F.max(n("instruction")).alias("prompt"), F.max(n("output")).alias("output"), F.max(n("instruction") + n("output")).alias("total"))
 
 
@@ -99,11 +97,12 @@ def answer_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All instruction pairs and as many documents as there are benchmark items, in one seeded order."""
     first = _pairs(spark, sf_dir).select(F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("id"), "instruction", "output")
-    second = O.sample(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("id"), F.lit("Continue").alias("instruction"), F.col("text").alias("output")), "m", "id", 30)
+    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.lit("Continue").alias("instruction"), F.col("text").alias("output"))
+    second = O.sample(texts, "m", "id", table(spark, sf_dir, "benchmark").count())
     return O.ranked(first.unionByName(second), "m", "id").select("id", "rank", F.md5("output").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_arrays, chunk_arrays_whole, token_status, max_steps, qa_pairs, prompt_text, sft_encode, masked_check, max_lengths, table_markdown, paragraph_join, answer_render, merge_sets)}
+QUERIES = {f.__name__: f for f in (chunk_arrays, token_status, max_steps, qa_pairs, prompt_text, sft_encode, masked_check, max_lengths, table_markdown, paragraph_join, answer_render, merge_sets)}
 
 _ids = lambda c: f"list_transform(regexp_extract_all({c}, '\\S+'), lambda w: CAST(CAST('0x' || left(md5(w), 8) AS BIGINT) % {VOCABULARY} + 1 AS INTEGER))"
 _join = lambda c: f"array_to_string({c}, ' ')"
@@ -116,13 +115,15 @@ _E = f"""{_P}, i AS (SELECT conv_id, turn, list_concat([{BOS}], {_ids("prompt")}
   j AS (SELECT conv_id, turn, list_concat(h, o) AS x, list_transform(list_concat(h, o), lambda v: 1) AS k, list_concat(list_transform(h, lambda v: -100), o) AS y FROM i),
   e AS (SELECT conv_id, turn, {_pad("x", PAD)} AS input_ids, {_pad("k", 0)} AS attention_mask, {_pad("y", -100)} AS labels FROM j)"""
 SQL = {
-    "chunk_arrays": f"""WITH d AS (SELECT doc_id, {_ids("text")} AS ids FROM documents WHERE source = 'src2'),
+    "chunk_arrays": f"""WITH d AS (SELECT doc_id, {_ids("text")} AS ids FROM documents),
   s AS (SELECT doc_id, ids, unnest(range(0, greatest(len(ids), {LENGTH}), {LENGTH - STRIDE})) AS s FROM d),
   c AS (SELECT doc_id, s, ids[s + 1:s + {LENGTH}] AS own FROM s),
   p AS (SELECT doc_id, s, {_pad("own", PAD)} AS x, {_pad("list_transform(own, lambda v: 1)", 0)} AS m FROM c)
 SELECT doc_id, CAST(s / {LENGTH - STRIDE} AS INTEGER) AS chunk_no, {_join("x")} AS input_ids, {_join("m")} AS attention_mask, {_join("x")} AS labels FROM p""",
-    "token_status": """WITH l AS (SELECT CASE WHEN event_id % 10 = 0 THEN left(props, 3) WHEN event_id % 7 = 0 THEN '{"k": ""}' ELSE props END AS line FROM events)
-SELECT CASE WHEN line IS NULL OR NOT json_valid(line) THEN 'invalid_json' WHEN coalesce(trim(line::JSON ->> '$.k'), '') = '' THEN 'empty_filing' ELSE 'success' END AS status, count(*) AS n FROM l GROUP BY 1""",
+    "token_status": f"""WITH l AS (SELECT {LINE} AS line FROM events),
+  j AS (SELECT line, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM l), k AS (SELECT j, j -> '$.k' AS v, json_type(j -> '$.k') AS t FROM j)
+SELECT CASE WHEN j IS NULL THEN 'invalid_json' WHEN json_type(j) <> 'OBJECT' THEN 'other_error' WHEN v IS NULL OR CAST(v AS VARCHAR) IN ('""', '0', '0.0', 'false', 'null', '[]', '{{}}') THEN 'empty_filing'
+  WHEN t = 'VARCHAR' THEN 'success' ELSE 'other_error' END AS status, count(*) AS n FROM k GROUP BY 1""",
     "max_steps": f"""WITH t AS (SELECT CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS tokens FROM documents), c AS (SELECT tokens, CAST(ceil(tokens / {LENGTH}.0) AS BIGINT) AS chunks FROM t)
 SELECT tokens, chunks, CAST({GPUS * BATCH * ACCUMULATE} AS BIGINT) AS per_step, CAST(ceil(chunks / {GPUS * BATCH * ACCUMULATE}.0) AS BIGINT) AS steps FROM c""",
     "qa_pairs": _P + "SELECT conv_id, turn, instruction, input, output FROM q",
@@ -133,7 +134,7 @@ SELECT tokens, chunks, CAST({GPUS * BATCH * ACCUMULATE} AS BIGINT) AS per_step,
     "table_markdown": "SELECT n_regionkey AS region, 'key | name' || chr(10) || '--- | ---' || chr(10) || string_agg(lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY 1",
     "paragraph_join": r"SELECT conv_id, string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g'), ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1",
     "answer_render": "SELECT event_id, props::JSON ->> '$.k' AS answer FROM events",
-    "merge_sets": _P + """, b AS (SELECT 'b' || item_id AS id, text AS output FROM benchmark ORDER BY md5('m:b' || item_id), id LIMIT 30),
+    "merge_sets": _P + """, b AS (SELECT 'd' || doc_id AS id, text AS output FROM documents ORDER BY md5('m:d' || doc_id), id LIMIT (SELECT count(*) FROM benchmark)),
   u AS (SELECT 'c' || conv_id || '-' || turn AS id, output FROM q UNION ALL SELECT id, output FROM b)
 SELECT id, row_number() OVER (ORDER BY md5('m:' || id), id) AS rank, md5(output) AS digest FROM u""",
 }

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import corpus, filings, ordering, reporting, selection, training
+from lexmill.plans import corpus, filings, ordering, records, reporting, selection, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-for module in (corpus, selection, filings, ordering, training, reporting):
+for module in (corpus, selection, filings, ordering, training, reporting, records):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

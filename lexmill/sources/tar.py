@@ -3,23 +3,50 @@
 Options: ``path`` (an archive or a folder), ``suffix`` (of archives in a folder, ``.tar,.tar.gz,.tgz`` by default) and ``form_types`` (comma-separated; a
 member whose name doesn't hold one of these is passed over before its body is read, as predicates of a regular expression or a semi-join can't be
 pushed into a source). Equality and prefix filters on ``member`` are pushed. Archives that can't be read give a row with ``error`` set, after
-the members that could be read; the others go on.
+the members that could be read (all of them, where only the checksum at the end doesn't fit); the others go on. Paths may be local or URIs.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import os
 import re
 import tarfile
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringStartsWith
 
 NAME = re.compile(r"^\d{8}_(.*?)_\d+_\d+\.txt$")
 
 
+#: What reading a broken archive raises.
+BROKEN = (tarfile.TarError, OSError, EOFError, zlib.error)
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it: local, or by the URI's scheme (hdfs, s3, gs, file)."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+@contextmanager
+def opened(path: str) -> Iterator[io.BufferedIOBase]:
+    """A stream of a plain or gzip file's content; a gzip's checksum is verified where the reader comes to its end."""
+    files, inside = filesystem(path)
+    with files.open_input_stream(inside, compression=None) as head:
+        zipped = head.read(2) == b"\x1f\x8b"
+    with files.open_input_stream(inside, compression=None) as raw:
+        if zipped:
+            with gzip.GzipFile(fileobj=raw) as plain:
+                yield plain
+        else:
+            yield raw
+
+
 class Archive(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -44,10 +71,11 @@ class TarReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Archive]:
-        if os.path.isfile(self.path):
+        files, path = filesystem(self.path)
+        if files.get_file_info(path).type == fs.FileType.File:
             return [Archive(self.path)]
-        names = sorted(n for n in os.listdir(self.path) if n.endswith(self.suffixes))
-        return [Archive(os.path.join(self.path, n)) for n in names]
+        found = files.get_file_info(fs.FileSelector(path))
+        return [Archive(f"{self.path.rstrip('/')}/{f.base_name}") for f in sorted(found, key=lambda f: f.base_name) if f.is_file and f.base_name.endswith(self.suffixes)]
 
     def _wanted(self, name: str) -> bool:
         if any(name != v for v in self.equal) or not all(name.startswith(p) for p in self.prefixes):
@@ -60,12 +88,15 @@ class TarReader(DataSourceReader):
     def read(self, partition: Archive) -> Iterator[tuple]:
         archive = os.path.basename(partition.path)
         try:
-            with tarfile.open(partition.path, "r|*") as tar:
-                for member in tar:
-                    name = member.name.lstrip("./")
-                    if member.isfile() and self._wanted(name):
-                        yield archive, name, member.size, tar.extractfile(member).read(), None
-        except (tarfile.TarError, OSError, EOFError) as error:
+            with opened(partition.path) as plain:
+                with tarfile.open(fileobj=plain, mode="r|") as tar:
+                    for member in tar:
+                        name = member.name.lstrip("./")
+                        if member.isfile() and self._wanted(name):
+                            yield archive, name, member.size, tar.extractfile(member).read(), None
+                while plain.read(1 << 20):  # to the end, where the checksum stands
+                    pass
+        except BROKEN as error:
             yield archive, None, None, None, f"{type(error).__name__}: {error}"
 
 
@@ -90,21 +121,19 @@ class IntegrityReader(TarReader):
     def read(self, partition: Archive) -> Iterator[tuple]:
         failed, digest, members = None, hashlib.sha256(), 0
         try:
-            with open(partition.path, "rb") as f:
-                zipped = f.read(2) == b"\x1f\x8b"
-                f.seek(0)
+            files, path = filesystem(partition.path)
+            with files.open_input_stream(path, compression=None) as f:
                 while block := f.read(1 << 20):
                     digest.update(block)
-            if zipped:
-                failed = "gzip"
-                with gzip.open(partition.path) as f:
-                    while f.read(1 << 20):
-                        pass
+            failed = "gzip"
+            with opened(partition.path) as f:
+                while f.read(1 << 20):
+                    pass
             failed = "tar"
-            with tarfile.open(partition.path, "r|*") as tar:
+            with opened(partition.path) as plain, tarfile.open(fileobj=plain, mode="r|") as tar:
                 members = sum(1 for _ in tar)
             failed = None
-        except (tarfile.TarError, OSError, EOFError) as error:
+        except BROKEN as error:
             failed = failed or type(error).__name__
         yield os.path.basename(partition.path), failed is None, failed, members, digest.hexdigest()
 

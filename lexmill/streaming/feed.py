@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -27,14 +28,20 @@ def consume(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)
+    n = (state.get[0] if state.exists else 0) + sum(int(b["n"].sum()) for b in batches)
     state.update((n,))
     yield pd.DataFrame({"stream": [key[0]], "processed_examples": [n]})
 
 
 def positions(stream: DataFrame, name: str = "train") -> DataFrame:
-    """(stream, processed_examples), a row for each micro-batch: the count goes on over batches and restarts."""
-    named = stream.select(F.lit(name).alias("stream"), F.lit(1).alias("one"))
+    """(stream, processed_examples), a row for each micro-batch: the count goes on over batches and restarts. Every task counts its own
+    examples; one number for each Arrow batch goes on to the state."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([batch.num_rows], pa.int64())], ["stream", "n"])
+
+    named = stream.select(F.lit(1).alias("one")).mapInArrow(counted, "stream string, n long")
     return named.groupBy("stream").applyInPandasWithState(_count, "stream string, processed_examples long", "processed_examples long", "update", "NoTimeout")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import longs, runs, whole_groups, written
+from lexmill.llm.common import longs, partitions, runs, whole_groups, written
 from lexmill.llm.mixing import n_tokens
 
 TIERS = (512, 2048, 8192)
@@ -115,4 +115,4 @@ def packed(docs: DataFrame, tiers: tuple[int, ...] = TIERS) -> DataFrame:
                 columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "n_tokens", "shard", "tier", "win", "place", "step"])
 
-    return pieces.repartition("shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece").mapInArrow(run, RESULT)
+    return pieces.repartition(partitions(pieces), "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece").mapInArrow(run, RESULT)

@@ -66,11 +66,12 @@ def action(d: Column, extract_there: Column) -> Column:
     return F.when(d["UU_encoding"], uu).when(d["block"].isNotNull(), F.lit("html")).otherwise(F.lit("keep"))
 
 
-def cleaned(filings: DataFrame, parse: bool = False, extract: Callable | None = None, pdf: bool = False, uu: str = UU) -> DataFrame:
+def cleaned(filings: DataFrame, parse: bool = False, extract: Callable | None = None, pdf: bool = False, uu: str = UU, build: bool = True) -> DataFrame:
     """From (filing_id, content): filing_id, docs with action, text, size_cleaned and counts, killed, and cleaned content.
 
     ``parse`` reads markup with a parser (an Arrow UDF) instead of stripping tags. ``pdf`` runs ``extract`` on encoded PDFs; else each of
-    those fails, which removes its filing. A document without a type has a null type and removes nothing.
+    those fails, which removes its filing. A document without a type has a null type and removes nothing. Without ``build`` the cleaned texts aren't
+    put together: there are flags, sizes and counts only.
     """
     rows = documents(filings, uu)
     blocks = F.transform("docs", lambda d: F.when(action(d, F.col("extract_there")) == "html", d["block"]))
@@ -85,15 +86,17 @@ def cleaned(filings: DataFrame, parse: bool = False, extract: Callable | None =
         extracted = F.concat(F.lit("<DOCUMENT>\n<TYPE>TEXT-EXTRACT\n<TEXT>\n"), page, F.lit("\n" + CLOSE))
         wrapped = F.concat(F.lit(OPEN + "\n"), plain, F.lit("\n" + CLOSE))
         body = F.when(what == "html", wrapped).when(what == "extract", extracted)
-        text = F.when(what == "keep", d["raw"]).when(body.isNotNull(), F.concat_ws("\n", d["head"], body))
-        size = F.when(what == "keep", d["size_raw"]).when(body.isNotNull(), F.length(d["head"]) + F.length(body)).otherwise(F.lit(0))
+        text = [F.when(what == "keep", d["raw"]).when(body.isNotNull(), F.concat_ws("\n", d["head"], body)).alias("text")] if build else []
+        body_chars = F.when(what == "html", F.length(plain) + WRAP + 2).when(what == "extract", F.length(extracted))
+        size = F.when(what == "keep", d["size_raw"]).when(body_chars.isNotNull(), F.length(d["head"]) + body_chars).otherwise(F.lit(0))
         content = F.when(what == "keep", d["size_raw"] - F.length(d["head"]) - WRAP).when(what == "html", F.length(plain)).when(what == "extract", F.coalesce(F.length(page), F.lit(0))).otherwise(F.lit(0))
         meta = F.when(what.isin("keep", "html"), F.length(d["head"]) + WRAP).when(page.isNotNull(), F.length(d["head"]) + F.length(extracted) - F.length(page)).otherwise(F.lit(0))
         return F.struct(
             *(d[c].alias(c) for c in ("type", "description", "size_raw", "UU_encoding", "encoded_PDF", "XML")),
             d["block"].isNotNull().alias("HTML"),
             what.alias("action"),
-            text.alias("text"),
+            *text,
+            ((what == "keep") | body_chars.isNotNull()).alias("kept"),
             size.alias("size_cleaned"),
             content.alias("content_chars"),
             meta.alias("meta_chars"),
@@ -101,8 +104,8 @@ def cleaned(filings: DataFrame, parse: bool = False, extract: Callable | None =
         )
 
     rows = rows.withColumn("out", F.transform("docs", outcome))
-    kept = F.transform(F.filter("out", lambda o: o["text"].isNotNull()), lambda o: o["text"])
-    killed = F.contains("content", F.lit(PAPER)) | (F.size(kept) == 0) | F.exists("out", lambda o: (o["action"] == "extract") & o["text"].isNull())
+    killed = F.contains("content", F.lit(PAPER)) | ~F.exists("out", lambda o: o["kept"]) | F.exists("out", lambda o: (o["action"] == "extract") & ~o["kept"])
+    kept = F.transform(F.filter("out", lambda o: o["kept"]), lambda o: o["text"]) if build else None
     head = T.before(F.col("content"), "\n<DOCUMENT>")
     total = lambda field: F.aggregate(F.transform("out", lambda o: o[field]), F.lit(0).cast("long"), lambda s, x: s + x)
     result = F.struct(
@@ -113,7 +116,7 @@ def cleaned(filings: DataFrame, parse: bool = False, extract: Callable | None =
         (F.length(head) + 13).alias("chars_filing_metadata"),
         total("meta_chars").alias("chars_doc_metadata"),
         total("content_chars").alias("chars_content"),
-        F.when(~killed, F.concat_ws("\n", head, F.array_join(kept, "\n"), F.lit("</SUBMISSION>"))).alias("content"),
+        *([F.when(~killed, F.concat_ws("\n", head, F.array_join(kept, "\n"), F.lit("</SUBMISSION>"))).alias("content")] if build else []),
     )
     # An array of one struct, exploded: a filter on the result then isn't pushed through all these expressions, which would
     # repeat each of them as often as it is referred to.
@@ -125,7 +128,7 @@ def error_log(clean: DataFrame) -> DataFrame:
     Paper filings aren't looked at."""
     entry = lambda o, i, kind: F.struct(i.alias("pos"), o["type"].alias("type"), F.lit(kind).alias("error_type"))
     of = lambda kind, wrong: F.filter(F.transform("documents", lambda o, i: F.when(wrong(o), entry(o, i, kind))), lambda e: e.isNotNull())
-    log = F.concat(of("pdf_extraction", lambda o: (o["action"] == "extract") & o["text"].isNull()), of("no_type", lambda o: o["type"].isNull()))
+    log = F.concat(of("pdf_extraction", lambda o: (o["action"] == "extract") & ~o["kept"]), of("no_type", lambda o: o["type"].isNull()))
     return clean.filter("NOT paper").withColumn("log", log).filter(F.size("log") > 0).drop("documents", "content", "paper")
 
 
@@ -134,7 +137,7 @@ def processing_log(clean: DataFrame, *by: str) -> DataFrame:
     filings are not looked at and count nowhere."""
     per = lambda f: F.when(F.col("paper"), F.lit(0).cast("long")).otherwise(F.aggregate("documents", F.lit(0).cast("long"), f))
     flag = lambda o, what: (o["action"] == what).cast("long")
-    failed = lambda o: flag(o, "extract") * o["text"].isNull().cast("long")
+    failed = lambda o: flag(o, "extract") * (~o["kept"]).cast("long")
     rows = clean.select(
         *by, "removed", "raw_file_length",
         per(lambda s, o: s + 1).alias("documents_processed"),

@@ -104,8 +104,10 @@ def perplexity(nll: str) -> list[Column]:
     return [F.round(F.avg(nll), 6).alias("cross_entropy"), F.round(F.exp(F.avg(nll)), 6).alias("perplexity")]
 
 
-def log_loss(y: Column, p: Column, eps: float = 1e-15) -> Column:
-    return -F.avg(y * F.ln(p + eps) + (1 - y) * F.ln(1 - p + eps))
+def log_loss(y: Column, p: Column, n: Column | None = None, eps: float = 1e-15) -> Column:
+    """Mean loss of rows, or of rows that stand for n each; nulls don't count."""
+    loss = y * F.ln(p + eps) + (1 - y) * F.ln(1 - p + eps)
+    return -F.avg(loss) if n is None else -F.sum(loss * n) / F.sum(F.when(loss.isNotNull(), n))
 
 
 def sigmoid(x: Column) -> Column:

@@ -45,8 +45,8 @@ def doc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(spark, sf_dir).select("filing_id", "pos", d["UU_encoding"].alias("uu"), d["encoded_PDF"].alias("pdf"), d["block"].isNotNull().alias("html"), d["XML"].alias("xml"), "extract_there", "action")
 
 
-def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.cleaned(filings(spark, sf_dir))
+def _clean(spark: SparkSession, sf_dir: str, build: bool = False) -> DataFrame:
+    return O.cleaned(filings(spark, sf_dir), build=build)
 
 
 def filing_kill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def filing_kill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filing_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clean(spark, sf_dir).filter("NOT removed").select("filing_id", F.length("content").cast("long").alias("chars"), F.md5("content").alias("digest"))
+    return _clean(spark, sf_dir, build=True).filter("NOT removed").select("filing_id", F.length("content").cast("long").alias("chars"), F.md5("content").alias("digest"))
 
 
 def char_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def form_type_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested processing log of each day (here source), made flat."""
-    log = L.processing_log(L.cleaned(P.filings(spark, sf_dir)), "source")
+    log = L.processing_log(L.cleaned(P.filings(spark, sf_dir), build=False), "source")
     html = F.struct(F.col("html_characters_removed").alias("characters_removed"), F.col("html_blocks_parsed").alias("blocks_parsed"))
     kills = F.struct(F.col("kill_characters_removed").alias("characters_removed"), F.col("files_killed").alias("files_killed"))
     return selection.flat(log.select("source", "files_processed", "documents_processed", html.alias("HTML"), F.struct(kills.alias("Kills")).alias("all")))
@@ -91,7 +91,7 @@ def log_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings with an error: which document, what kind."""
-    return L.error_log(L.cleaned(P.filings(spark, sf_dir))).select("filing_id", "removed", F.explode("log").alias("e")).select("filing_id", "removed", "e.pos", "e.type", "e.error_type")
+    return L.error_log(L.cleaned(P.filings(spark, sf_dir), build=False)).select("filing_id", "removed", F.explode("log").alias("e")).select("filing_id", "removed", "e.pos", "e.type", "e.error_type")
 
 
 def head_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:

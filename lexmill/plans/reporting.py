@@ -87,11 +87,14 @@ def sinusoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logloss_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loss of a two-weight logistic model at each point of a grid: the grid (fixed size) is broadcast to the data."""
+    """The loss of a two-weight logistic model at each of 100 x 100 points: equal rows are counted first, so that the grid (fixed size, broadcast) meets
+    each combination once."""
     data = _predictions(spark, sf_dir).select(F.col("quality").alias("y"), (F.col("doc_id") % 7 / 7.0).alias("a"), (F.col("doc_id") % 3 / 3.0).alias("b"))
-    grid = spark.range(20).select(((F.col("id") - 10) / 5).alias("w1")).crossJoin(spark.range(20).select(((F.col("id") - 10) / 5).alias("w2")))
+    points = data.filter("y IS NOT NULL").groupBy("y", "a", "b").agg(F.count("*").alias("n"))
+    axis = lambda w: spark.range(100).select(((F.col("id") - 50) / 10).alias(w))
+    grid = axis("w1").crossJoin(axis("w2"))
     p = R.sigmoid(F.col("a") * F.col("w1") + F.col("b") * F.col("w2"))
-    return data.crossJoin(F.broadcast(grid)).groupBy("w1", "w2").agg(F.round(R.log_loss(F.col("y"), p), 6).alias("loss"))
+    return points.crossJoin(F.broadcast(grid)).groupBy("w1", "w2").agg(F.round(R.log_loss(F.col("y"), p, F.col("n")), 6).alias("loss"))
 
 
 def log_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +134,7 @@ SELECT n, missing, round((tp + tn) / n, 6) AS acc, round(sqrt((tp + tn) / n * (1
     "activations": _X + "SELECT id, round(s, 6) AS sigmoid, round(x * s, 6) AS swish, round(greatest(x, 0), 6) AS relu, round(tanh(x), 6) AS tanh FROM s",
     "activation_grads": _X + "SELECT id, round(s * (1 - s), 6) AS sigmoid, round(x * s + s * (1 - x * s), 6) AS swish, CAST(x > 0 AS DOUBLE) AS relu, round(1 - tanh(x) * tanh(x), 6) AS tanh FROM s",
     "sinusoid": "WITH g AS (SELECT p.range AS position, d.range AS dim, p.range / pow(10000.0, 2 * (d.range // 2) / 32) AS angle FROM range(100) p, range(32) d) SELECT position, dim, round(CASE WHEN dim % 2 = 0 THEN sin(angle) ELSE cos(angle) END, 6) AS value FROM g",
-    "logloss_grid": _G + """, w AS (SELECT (i.range - 10) / 5 AS w1, (j.range - 10) / 5 AS w2 FROM range(20) i, range(20) j), l AS (SELECT w1, w2, y, 1 / (1 + exp(-(a * w1 + b * w2))) AS q FROM p, w)
+    "logloss_grid": _G + """, w AS (SELECT (i.range - 50) / 10 AS w1, (j.range - 50) / 10 AS w2 FROM range(100) i, range(100) j), l AS (SELECT w1, w2, y, 1 / (1 + exp(-(a * w1 + b * w2))) AS q FROM p, w)
 SELECT w1, w2, round(-avg(y * ln(q + 1e-15) + (1 - y) * ln(1 - q + 1e-15)), 6) AS loss FROM l GROUP BY 1, 2""",
     "log_scrape": "SELECT round(value, 2) AS loss, CAST(event_id % 9 AS DOUBLE) AS grad_norm, CAST(NULL AS DOUBLE) AS learning_rate, 1.5::DOUBLE AS epoch FROM events WHERE event_id % 3 = 0",
     "eval_scrape": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT user_id, event_id, 'task' || (n - (n - 1) % 3) AS task, 1 AS version, 'm' || event_id % 4 AS metric, round(value, 2) AS value, 0.01::DOUBLE AS stderr FROM n",

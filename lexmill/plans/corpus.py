@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import strip
 from lexmill.operators import tokens as T
-from lexmill.session import table
+from lexmill.session import spread, table
 
 LENGTH, STRIDE = 256, 32
 WHITELIST = tuple(f"src{i}" for i in range(0, 20, 2))
 
 
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("source").isin(*WHITELIST) & (F.length(strip(F.col("text"))) > 0))
+    docs = spread(table(spark, sf_dir, "documents")).filter(F.col("source").isin(*WHITELIST) & (F.length(strip(F.col("text"))) > 0))
     return T.chunks(docs.select("doc_id", T.count_words(F.col("text")).alias("n")), "n", LENGTH, STRIDE).select("doc_id", "chunk_no", "start_tok", "end_tok", "n_real", "n_pad")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import filings as O
-from lexmill.session import table
+from lexmill.session import spread, table
 
 #: Valid in Spark and in DuckDB.
 CONTENT = """concat('<SUBMISSION>', chr(10), '<CONFORMED-NAME>Firm ', source, chr(10),
@@ -24,7 +24,7 @@ CONTENT = """concat('<SUBMISSION>', chr(10), '<CONFORMED-NAME>Firm ', source, ch
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing_id"), "source", F.expr(CONTENT).alias("content"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("filing_id"), "source", F.expr(CONTENT).alias("content"))
 
 
 def sgml_header(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,16 +73,16 @@ def log_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.strip(T.first_group(F.col("html"), "(?is)<title[^>]*>(.*?)</title>")).alias("title"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", T.strip(T.first_group(F.col("html"), "(?is)<title[^>]*>(.*?)</title>")).alias("title"))
 
 
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = T.strip_tags(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.length(text).alias("chars"), F.md5(text).alias("digest"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", F.length(text).alias("chars"), F.md5(text).alias("digest"))
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.html_text("html").alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", T.html_text("html").alias("text"))
 
 
 _F = f"WITH f AS (SELECT doc_id AS filing_id, source, {CONTENT} AS content FROM documents)"

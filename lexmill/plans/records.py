@@ -14,7 +14,7 @@ from lexmill.operators import instruct as I
 from lexmill.operators import ordering, report, selection
 from lexmill.operators import tokens as T
 from lexmill.plans import filings as P
-from lexmill.session import table
+from lexmill.session import spread, table
 from lexmill.sources import files
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -54,7 +54,7 @@ def daily_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as JSON lines in ASCII, in batches bounded by characters; rows as written and as read back."""
     path = _folder(spark, "batches")
-    written = files.write_batches(_docs(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("filing")), path, "filing", 200_000)
+    written = files.write_batches(spread(_docs(spark, sf_dir)).select(F.coalesce("text", F.lit("")).alias("filing")), path, "filing", 200_000)
     back = files.jsonl(spark, path)
     return back.agg(F.lit(written).cast("long").alias("written"), F.count("*").alias("n"), F.sum(F.length("filing")).cast("long").alias("chars"), F.sum(F.conv(F.substring(F.md5("filing"), 1, 8), 16, 10).cast("long")).alias("digests"))
 
@@ -142,13 +142,13 @@ def avg_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subword tokens of every document, with one special token in front; blank documents go."""
-    docs = _docs(spark, sf_dir).filter(F.length(P.T.strip(F.col("text"))) > 0)
+    docs = spread(_docs(spark, sf_dir)).filter(F.length(P.T.strip(F.col("text"))) > 0)
     return docs.select("doc_id", F.size(tokenizers.subword_ids(tokenizer_path(spark), END_OF_TEXT)(F.col("text"))).alias("n_tokens"))
 
 
 def _subword_chunks(spark: SparkSession, sf_dir: str, setup: str) -> DataFrame:
     length, stride = SETUPS[setup]
-    docs = _docs(spark, sf_dir).filter(F.length(P.T.strip(F.col("text"))) > 0)
+    docs = spread(_docs(spark, sf_dir)).filter(F.length(P.T.strip(F.col("text"))) > 0)
     ids = docs.select("doc_id", tokenizers.subword_ids(tokenizer_path(spark))(F.col("text")).alias("ids"))
     return T.chunk_arrays(ids, "ids", length, stride, END_OF_TEXT).select("doc_id", "chunk_no", "input_ids", "attention_mask", "labels")
 

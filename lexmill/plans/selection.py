@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import selection as O
-from lexmill.session import table
+from lexmill.session import spread, table
 
 CHOSEN = "n_chars % 3 = 0"
 NAME = "concat(CAST(20120101 + (doc_id % 12) * 10000 AS STRING), '_', source, '-A_', CAST(doc_id AS STRING), '_', CAST(n_chars AS STRING), CASE WHEN doc_id % 10 = 0 THEN '.bin' ELSE '.txt' END)"
@@ -42,7 +42,7 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocab_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Distinct in each text first, so that repeats are never exploded.
     words = lambda df: df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("token"))
-    return words(table(spark, sf_dir, "conversations")).distinct().join(words(_docs(spark, sf_dir)).distinct(), "token", "left_anti")
+    return words(table(spark, sf_dir, "conversations")).distinct().join(words(spread(_docs(spark, sf_dir))).distinct(), "token", "left_anti")
 
 
 def year_union(spark: SparkSession, sf_dir: str) -> DataFrame:

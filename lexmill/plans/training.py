@@ -9,7 +9,7 @@ from lexmill.functions import text as X
 from lexmill.operators import instruct as I
 from lexmill.operators import ordering as O
 from lexmill.operators import tokens as T
-from lexmill.session import table
+from lexmill.session import spread, table
 
 LENGTH, STRIDE, PAD, BOS, VOCABULARY = 64, 8, 0, 1, 5000
 GPUS, BATCH, ACCUMULATE = 4, 8, 2
@@ -29,7 +29,7 @@ def _chunked(docs: DataFrame) -> DataFrame:
 
 def chunk_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of every source."""
-    return _chunked(table(spark, sf_dir, "documents"))
+    return _chunked(spread(table(spark, sf_dir, "documents")))
 
 
 def token_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def token_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def max_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = T.count_words(F.col("text"))
-    return T.max_steps(table(spark, sf_dir, "documents").select(n.alias("n")), "n", LENGTH, GPUS, BATCH, ACCUMULATE)
+    return T.max_steps(spread(table(spark, sf_dir, "documents")).select(n.alias("n")), "n", LENGTH, GPUS, BATCH, ACCUMULATE)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Up to so many bytes of files for each core a scan is dealt out before heavy work on its rows.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan dealt out to all cores, for heavy work on each row: a file of one row group is one task otherwise. Columns are pruned and filters pushed through. Larger
+    scans have tasks enough and aren't shuffled; rows are the same either way."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import jaccard_forest, mixing, packing, quality, secrets
 from lexmill.llm.common import by_ids, written
+from lexmill.session import spread
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for place, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"stage-{place}")
     return docs

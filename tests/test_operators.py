@@ -376,3 +376,14 @@ def test_subword_ids_chunks_and_pieces(spark, tmp_path):
         assert {k: (r["input_ids"], r["attention_mask"]) for k, r in rows.items()} == want and all(r["labels"] == r["input_ids"] for r in rows.values())
     decoded = {r["item_id"]: (r["ids"], r["pieces"]) for r in registry.QUERIES["subword_decode"](spark, str(tmp_path)).collect()}
     assert decoded[4] == (None, None) and all(decoded[i] == (x, [plain.id_to_token(t) for t in x]) for i, x in ids.items())
+
+
+def test_spread_keeps_rows_and_pushes_columns(spark, tmp_path):
+    from lexmill import session
+
+    spark.range(1000).selectExpr("id", "CAST(id AS STRING) AS t", "id % 7 AS k").coalesce(1).write.parquet(str(tmp_path / "x"))
+    table = spark.read.parquet(str(tmp_path / "x"))
+    dealt = session.spread(table)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(dealt.collect()) == sorted(table.collect())
+    plan = dealt.filter("k = 3").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,k:bigint>" in plan and "PushedFilters: [IsNotNull(k), EqualTo(k,3)]" in plan

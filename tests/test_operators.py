@@ -378,6 +378,31 @@ def test_subword_ids_chunks_and_pieces(spark, tmp_path):
     assert decoded[4] == (None, None) and all(decoded[i] == (x, [plain.id_to_token(t) for t in x]) for i, x in ids.items())
 
 
+@pytest.mark.skipif(not __import__("os").path.exists(TOKENIZER), reason="no tokenizer file here")
+def test_subword_ids_come_in_slices_and_are_those_of_whole_texts():
+    import random
+
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    from lexmill.functions import tokenizers
+
+    plain, draw = Tokenizer.from_file(TOKENIZER), random.Random(7)
+    plain.encode_special_tokens = True
+    signs = ["a", "Bc", "don't", "'s", "'", "9", "_", " ", "  ", "\n", "\t", "\r\n", ",", ".", "!!", "é", "漢字", "\u00a0", "\x1c", "\u3000", "<|endoftext|>", "\u0301", "\x00", "😀", "prose", " words"]
+    block = ["".join(draw.choices(signs, k=draw.randint(0, 200))) for _ in range(5000)]
+    long = "".join(draw.choices([c for c in signs if c != "\u00a0"], k=tokenizers.SLICE)) + " prose goes on, on and on." * (tokenizers.SLICE // 10)
+    block[100:100] = [None, "", long, None]
+    got = list(tokenizers.subword_ids(TOKENIZER).func(iter([pd.Series(block, dtype=object)])))
+    sizes, at = [], 0
+    for part in got:
+        sizes.append(sum(len(t or "") for t in block[at : at + len(part)]))
+        at += len(part)
+    assert at == len(block) and sorted(sizes)[-1] == len(long) and sorted(sizes)[-2] <= tokenizers.SLICE
+    want = [None if t is None else plain.encode(t, add_special_tokens=False).ids for t in block]
+    assert [None if x is None else x.tolist() for part in got for x in part] == want
+
+
 def test_spread_keeps_rows_and_pushes_columns(spark, tmp_path):
     from lexmill import session
 

@@ -28,11 +28,15 @@ SLICE = 1 << 18
 KEPT = 1 << 17
 #: White space behind a letter or digit, where a long text may be cut.
 _CUT = re.compile(r"(?<=[^\W_])[ \n]")
-#: Pieces of a text without other white space (``_ODD``): cut before white space, and behind ASCII letters before ASCII that is neither a letter nor an apostrophe.
-_PIECES = re.compile(r"[\t\n\r ]*(?:[A-Za-z]+(?![^\t\n\r -&(-@[-`{-~])|[^\t\n\r ]+)|[\t\n\r ]+")
+#: ASCII and Latin-1 letters, which are letters in every version of Unicode.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Pieces of a text without other white space (``_ODD``): cut before white space, and behind these letters before ASCII that is neither a letter nor an apostrophe.
+_PIECES = re.compile(rf"[\t\n\r ]*(?:[{_LETTERS}]+(?![^\t\n\r -&(-@[-`{{-~])|[^\t\n\r ]+)|[\t\n\r ]+")
 _ODD = re.compile(r"[^\S\t\n\r ]")
-#: A piece that is one word to the tokenizer, in its own letters but for the space.
-_WORD = re.compile(r" ?[A-Za-z]+")
+#: A piece that is one word to the tokenizer.
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
+#: The letter that stands for each byte in byte-level BPE: its own, if that can be printed, or one from 256 on.
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 def _cuttable(tokenizer: str) -> bool:
@@ -75,7 +79,7 @@ def _by_pieces(model, whole: Callable[[list[str]], list[np.ndarray]]) -> Callabl
         cut = [None if _ODD.search(t) else _PIECES.findall(t) for t in texts]
         new = set(chain.from_iterable(c for c in cut if c)).difference(kept)
         words = {p for p in new if _WORD.fullmatch(p)}
-        found = {p: array("i", [t.id for t in bpe.tokenize(p.replace(" ", "\u0120"))]).tobytes() for p in words}
+        found = {p: array("i", [t.id for t in bpe.tokenize(p.encode().decode("latin-1").translate(_BYTES))]).tobytes() for p in words}
         others = list(new - words)
         found |= {p: ids.tobytes() for p, ids in zip(others, whole(others))}
         kept.update(found)

@@ -379,7 +379,7 @@ def test_subword_ids_chunks_and_pieces(spark, tmp_path):
 
 
 @pytest.mark.skipif(not __import__("os").path.exists(TOKENIZER), reason="no tokenizer file here")
-def test_subword_ids_come_in_slices_and_are_those_of_whole_texts():
+def test_subword_ids_come_in_slices_and_are_those_of_whole_texts(spark):
     import random
 
     import pandas as pd

@@ -49,7 +49,7 @@ def chunk_arrays(df: DataFrame, ids: str, length: int, stride: int, pad: int) ->
     out = df.select("*", F.posexplode(chunk_bounds(F.size(ids), length, stride)).alias("chunk_no", "start_tok"))
     own = F.slice(ids, F.col("start_tok") + 1, length)
     out = out.withColumn("input_ids", padded(own, length, F.lit(pad)))
-    mask = padded(F.transform(own, lambda _: F.lit(1)), length, F.lit(0))
+    mask = F.when(own.isNotNull(), padded(F.array_repeat(F.lit(1), F.size(own)), length, F.lit(0)))
     return out.withColumns({"attention_mask": mask, "labels": F.col("input_ids")})
 
 

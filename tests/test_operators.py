@@ -403,6 +403,13 @@ def test_subword_ids_come_in_slices_and_are_those_of_whole_texts(spark):
     assert [None if x is None else x.tolist() for part in got for x in part] == want
 
 
+def test_chunk_masks_are_repeated_not_mapped(spark):
+    out = T.chunk_arrays(spark.createDataFrame([(1, [5, 6, 7]), (2, []), (3, None)], "k int, ids array<int>"), "ids", 4, 1, 0)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r["k"], r["chunk_no"]): (r["input_ids"], r["attention_mask"]) for r in out.collect()}
+    assert rows[1, 0] == ([5, 6, 7, 0], [1, 1, 1, 0]) and rows[1, 1] == rows[2, 0] == ([0] * 4, [0] * 4) and rows[3, 0] == (None, None)
+
+
 def test_spread_keeps_rows_and_pushes_columns(spark, tmp_path):
     from lexmill import session
 
